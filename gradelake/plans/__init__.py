@@ -4,7 +4,7 @@ import importlib
 
 from gradelake.plans.registry import ORACLES, QUERIES
 
-MODULES = ["evaluation"]
+MODULES = ["evaluation", "advantages", "token_folds", "policy"]
 
 
 def _load() -> None:

@@ -161,6 +161,30 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    """The same tokens as array columns, one row per document."""
+    d = table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    n = d.select("doc_id", F.transform("w", lambda x: F.length(x)).alias("n"))
+    k = F.col("doc_id")
+    last = F.size("n") - 1
+    return n.select(
+        k.alias("traj"),
+        F.floor(k / 4).alias("uid"),
+        "n",
+        F.transform("n", lambda x: F.when(x % 5 == 0, 0).otherwise(1)).alias("mask"),
+        F.transform("n", lambda x: -(x % 7 + 1) / F.lit(8.0)).alias("old_lp"),
+        F.transform("n", lambda x, i: -((x + i) % 7 + 1) / F.lit(8.0)).alias("roll_lp"),
+        F.transform("n", lambda x, i: -((x * 3 + i) % 11 + 1) / F.lit(12.0)).alias("new_lp"),
+        F.transform("n", lambda x, i: -((x * 2 + i) % 5 + 1) / F.lit(6.0)).alias("ref_lp"),
+        F.transform("n", lambda x: ((x + k) % 5 - 2) / F.lit(2.0)).alias("adv"),
+        F.transform("n", lambda x, i: ((x * 5 + i) % 13) / F.lit(13.0)).alias("value"),
+        F.transform("n", lambda x, i: ((x + i) % 9) / F.lit(10.0)).alias("pi2"),
+        F.transform(
+            "n", lambda x, i: F.when(i == last, (k % 3).cast("double")).otherwise(((x + k) % 3 - 1) / F.lit(4.0))
+        ).alias("reward"),
+    )
+
+
 # --- model responses: the whole document is the thinking text ---------------------------------
 
 RESPONSES_SQL = """
