@@ -34,3 +34,15 @@ def after_last(text: Column, needle: str) -> Column:
 
 def first_of(*cases: Column) -> Column:
     return F.coalesce(*cases)
+
+
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once for ``fn``, so lambdas inside it do not evaluate it again per element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def any_of(text: Column, patterns: list[str]) -> Column:
+    hit = F.lit(False)
+    for p in patterns:
+        hit = hit | F.rlike(text, F.lit(p))
+    return hit

@@ -106,14 +106,14 @@ def importance_weights(
     if level == "token":
         raw = F.zip_with("log_ratio", mask, lambda x, m: F.exp(clamp(x, -SAFETY, SAFETY)) * m)
     else:
-        out = out.withColumn("_seq_w", F.exp(clamp(F.col("seq_lr"), -SAFETY, SAFETY)))
-        raw = F.transform(mask, lambda m: F.col("_seq_w") * m)
+        per_seq = F.array_repeat(F.exp(clamp(F.col("seq_lr"), -SAFETY, SAFETY)), F.size(mask))
+        raw = F.zip_with(per_seq, mask, lambda w, m: w * m)
     out = out.withColumn("raw_weight", raw)
     if lower is None:
         kept = F.transform("raw_weight", lambda w: F.least(w, F.lit(upper)))
     else:
         kept = F.transform("raw_weight", lambda w: F.when(w.between(lower, upper), w).otherwise(F.lit(0.0)))
-    out = out.withColumn("weight", kept).drop("_seq_w")
+    out = out.withColumn("weight", kept)
     if not batch_normalize:
         return out
     factor = batch_factor(out, level, mask)
@@ -218,7 +218,9 @@ def rejection_mask(df: DataFrame, options: str, spec: str | float, mask: str = "
                 live = F.zip_with(stat, F.col(mask), lambda v, m: F.when(m != 0, v))
                 value = F.coalesce(F.array_max(live), F.lit(0.0))
             out = out.withColumn(f"q_{name}", value).withColumn(f"a_{name}", inside(F.col(f"q_{name}")))
-            out = out.withColumn("new_mask", F.transform("new_mask", lambda m: m * F.col(f"a_{name}").cast("int")))  # noqa: B023
+            # decided once per row: a lambda would re-evaluate the statistic for every token
+            nothing = F.array_repeat(F.lit(0), F.size("new_mask"))
+            out = out.withColumn("new_mask", F.when(F.col(f"a_{name}"), F.col("new_mask")).otherwise(nothing))
     return out
 
 

@@ -4,7 +4,7 @@ import importlib
 
 from gradelake.plans.registry import ORACLES, QUERIES
 
-MODULES = ["evaluation", "advantages", "token_folds", "policy"]
+MODULES = ["evaluation", "advantages", "token_folds", "policy", "texts"]
 
 
 def _load() -> None:

@@ -50,7 +50,7 @@ def _weight_query(name: str, level: str, threshold, upper: float, lower: float |
     @query(
         name,
         TOK + SEQ_SQL + _weights_cte(level, upper, lower)
-        + f"SELECT traj, round(sum(w){scale}, 6) AS weight_sum, round(max(w){scale}, 6) AS weight_max, round(sum(raw), 4) AS raw_sum FROM w GROUP BY traj",
+        + f"SELECT traj, round(sum(w){scale}, 6) AS weight_sum, round(max(w){scale}, 6) AS weight_max, round(ln(sum(raw) + 1), 6) AS raw_log_sum FROM w GROUP BY traj",
     )
     def run(spark, sf):
         df = off.importance_weights(trajectories(spark, sf), level, threshold, normalize)
@@ -58,7 +58,7 @@ def _weight_query(name: str, level: str, threshold, upper: float, lower: float |
             "traj",
             F.round(total(F.col("weight")), 6).alias("weight_sum"),
             F.round(F.array_max("weight"), 6).alias("weight_max"),
-            F.round(total(F.col("raw_weight")), 4).alias("raw_sum"),
+            F.round(F.log(total(F.col("raw_weight")) + 1), 6).alias("raw_log_sum"),
         )
 
 
@@ -355,9 +355,9 @@ def _(spark, sf):
 @query(
     "offp13_so7_kl_covariance_loss",
     TOK + PL
-    + f""", mu AS (SELECT avg(adv) AS ma, avg(new_lp) AS ml, count(*) AS n FROM p WHERE mask = 1),
-  c AS (SELECT p.*, row_number() OVER (ORDER BY CASE WHEN mask = 1 THEN (adv-ma)*(new_lp-ml) END DESC NULLS LAST, traj, t) AS r, n FROM p, mu)
-  SELECT round(sum((-adv*exp(d) + CASE WHEN mask = 1 AND r <= greatest(1, floor(n*0.002)) THEN abs(d) ELSE 0 END)*mask)/sum(mask), 6) AS loss, round({_mm("abs(d)")}, 6) AS ppo_kl FROM c""",
+    + f""", mu AS (SELECT avg(adv) AS ma, avg(new_lp) AS ml, count(*) AS nn FROM p WHERE mask = 1),
+  c AS (SELECT p.*, row_number() OVER (ORDER BY CASE WHEN mask = 1 THEN (adv-ma)*(new_lp-ml) END DESC NULLS LAST, traj, t) AS r, nn FROM p, mu)
+  SELECT round(sum((-adv*exp(d) + CASE WHEN mask = 1 AND r <= greatest(1, floor(nn*0.002)) THEN abs(d) ELSE 0 END)*mask)/sum(mask), 6) AS loss, round({_mm("abs(d)")}, 6) AS ppo_kl FROM c""",
 )
 def _(spark, sf):
     return _rounded(L.kl_cov_loss(_frame(spark, sf), ratio=0.002))

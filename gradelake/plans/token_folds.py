@@ -28,10 +28,10 @@ def _digest(df, adv, traj="traj", mask=None):
         F.sum(v).alias("total"),
         (F.sum(v * (F.col("t") + 1)) / F.count(F.lit(1))).alias("weighted"),
     )
-    return _r(out, "total", "weighted")
+    return out.withColumns({c: F.round(c, 4) for c in ("total", "weighted")})
 
 
-DIGEST = "traj, count(*) AS tokens, round(sum({x}), 6) AS total, round(sum(({x}) * (t + 1)) / count(*), 6) AS weighted"
+DIGEST = "traj, count(*) AS tokens, round(sum({x}), 4) AS total, round(sum(({x}) * (t + 1)) / count(*), 4) AS weighted"
 
 
 @query(
