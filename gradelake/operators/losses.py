@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.functions.arrays import masked_total
-from gradelake.operators.groups import with_row_index
+from gradelake.operators.groups import cumulative, with_row_index
 from gradelake.operators.offpolicy import clamp
 from gradelake.operators.tokens import explode_tokens, masked_mean, masked_sum
 
@@ -337,20 +337,6 @@ def resample(df: DataFrame, order_by: list[str], weight: str = "weight", offset:
     return cum.withColumn("copies", hi - below(F.col("_cum") - F.col(weight))).drop("_i", "_cum", "_total", "_n")
 
 
-def cumulative(df: DataFrame, index: str, value: str, out: str, block: int = 1 << 20) -> DataFrame:
-    """Running sum over a dense index: inside fixed-size blocks, plus the blocks before."""
-    from pyspark.sql import Window
-
-    b = df.withColumn("_b", F.floor(F.col(index) / block))
-    sums = b.groupBy("_b").agg(F.sum(value).alias("_s"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_off"))  # rows / block
-    inside = Window.partitionBy("_b").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    return b.withColumn("_in", F.sum(value).over(inside)).join(F.broadcast(offsets), "_b").withColumn(
-        out, F.col("_in") + F.col("_off")
-    ).drop("_b", "_in", "_off")
-
-
 def distillation_loss(tok: DataFrame, kind="k3", student="new_lp", teacher="ref_lp", mask="mask", loss_max: float | None = None) -> DataFrame:
     """Reverse-KL estimate between student and teacher: mean and range, optionally clamped."""
     d = kl_estimate(F.col(student), F.col(teacher), kind)
