@@ -79,7 +79,7 @@ def grpo_pass_at_k(df, group="uid", score="score", row_key: Sequence[str] = ("ro
     )
     spread = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_n"), F.stddev_samp(score).alias("g_std"))
     stats = spread.join(gap, group)
-    joined = join_skewed(df, stats, [group], "group_n", hot_rows)
+    joined = join_skewed(df, stats, [group], "group_n", hot_rows, sizes=spread)
     won = F.lit(True)
     for c in row_key:
         won = won & F.col(c).eqNullSafe(F.col(f"g_{c}"))
@@ -192,7 +192,8 @@ def multi_trajectory(df: DataFrame, estimator: str = "grpo", group="uid", sessio
     finals = last_trajectory(df, [group, session], index, [score])
     scored = get_estimator(estimator)(finals, group=group, score=score, hot_rows=hot_rows, **kw)
     stats = scored.select(group, session, "n_siblings", "advantage")
-    return join_skewed(df, stats, [group, session], "n_siblings", hot_rows).drop("n_siblings")
+    sizes = df.groupBy(group, session).agg(F.count(F.lit(1)).alias("n_siblings"))
+    return join_skewed(df, stats, [group, session], "n_siblings", hot_rows, sizes=sizes).drop("n_siblings")
 
 
 def group_mean_std(df: DataFrame, group="uid", score="score", eps=EPS) -> DataFrame:

@@ -50,30 +50,40 @@ def join_skewed(
     size_col: str,
     hot_rows: int | None = None,
     spread_on: Sequence[str] | None = None,
+    sizes: DataFrame | None = None,
+    size_keys: Sequence[str] | None = None,
+    hint: str | None = None,
 ) -> DataFrame:
     """Inner-join one-row-per-key ``stats`` back to ``rows``; ``size_col`` is the group's row count.
 
     The rows of a hot key go to several salts chosen from a hash of the row, and that key's one
-    statistics row is repeated once per salt. Cold keys keep salt 0 and are not repeated.
+    statistics row is repeated once per salt. Cold keys keep salt 0 and are not repeated. When the rows
+    already carry ``size_col``, it is used as it is; otherwise the hot keys are broadcast, taken from
+    ``sizes`` (keys and ``size_col``) where that is cheaper to compute than ``stats``. ``size_keys`` names
+    the part of the key the sizes are about; ``hint`` keeps Spark from planning on a size it cannot see.
     """
     hot_rows = hot_rows or HOT_ROWS
-    salts = F.ceil(F.col(size_col) / F.lit(hot_rows)).cast("int")
-    hot = stats.where(F.col(size_col) > hot_rows).select(
-        *[F.col(k).alias(f"_hot_{k}") for k in keys], salts.alias("_salts")
-    )
+    salts = F.greatest(F.ceil(F.col(size_col) / F.lit(hot_rows)), F.lit(1)).cast("int")
     spread = [rows[c] for c in (spread_on or [n for n, t in rows.dtypes if not t.startswith("map")])]
-    salted = rows.join(
-        F.broadcast(hot), _null_safe(rows, hot, [(k, f"_hot_{k}") for k in keys]), "left"
-    ).withColumn(
-        "_salt",
-        F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int")),
-    )
-    spread_stats = stats.withColumn(
-        "_stat_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))
-    ).select(*[F.col(c).alias(f"_stat_{c}") if c in keys else F.col(c) for c in stats.columns], "_stat_salt")
-    cond = _null_safe(salted, spread_stats, [(k, f"_stat_{k}") for k in keys])
-    joined = salted.join(spread_stats, cond & (salted["_salt"] == spread_stats["_stat_salt"]), "inner")
-    return joined.drop("_salt", "_salts", "_stat_salt", *[f"_hot_{k}" for k in keys], *[f"_stat_{k}" for k in keys])
+    own_size = size_col in rows.columns
+    if own_size:
+        salted = rows.withColumn("_salts", salts)
+    else:
+        hot = (sizes if sizes is not None else stats).where(F.col(size_col) > hot_rows)
+        of = size_keys or keys
+        hot = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in of], salts.alias("_salts"))
+        salted = rows.join(F.broadcast(hot), _null_safe(rows, hot, [(k, f"_hot_{k}") for k in of]), "left")
+    several = F.coalesce("_salts", F.lit(1)) > 1
+    salt = F.when(several, F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int")).otherwise(F.lit(0))
+    salted = salted.withColumn("_salt", salt)
+    copies = stats.withColumn("_stat_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    renamed = [*keys, size_col] if own_size else list(keys)
+    copies = copies.withColumnsRenamed({c: f"_stat_{c}" for c in renamed})
+    if hint:
+        copies = copies.hint(hint)
+    cond = _null_safe(salted, copies, [(k, f"_stat_{k}") for k in keys])
+    joined = salted.join(copies, cond & (salted["_salt"] == copies["_stat_salt"]), "inner")
+    return joined.drop("_salt", "_salts", "_stat_salt", *[f"_hot_{k}" for k in keys], *[f"_stat_{k}" for k in renamed])
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

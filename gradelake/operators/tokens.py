@@ -79,31 +79,33 @@ def token_baseline(
     t = trajectories.withColumn("_len", F.aggregate(mask, F.lit(0), lambda a, m: a + m))
     if compact:
         t = t.where("_len > 0")
-    sizes = t.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     longest = top_per_group(t.select(group, "_len"), [group], [F.col("_len").desc()], 2, "_rank")
     longest = longest.groupBy(group).agg(F.max("_len").alias("_max"), F.min("_len").alias("_second"))
-    t = join_skewed(t, sizes.join(longest, group), [group], "_n", hot_rows, spread_on=[traj])
-    rows = explode_tokens(t, [group, traj, "_n", "_len", "_max", "_second"], [returns, energy, mask])
+    of_group = t.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).join(longest, group)
+    arrays = [returns, energy, mask]
     if compact:
-        rows = explode_tokens(
-            t.withColumns(
-                {
-                    returns: _keep(returns, mask),
-                    energy: _keep(energy, mask),
-                    "_pos": F.filter(F.transform(mask, lambda m, i: F.when(m != 0, i)), lambda p: p.isNotNull()),
-                    mask: F.filter(mask, lambda m: m != 0),
-                }
-            ),
-            [group, traj, "_n", "_len", "_max", "_second"],
-            [returns, energy, mask, "_pos"],
+        t = t.withColumns(
+            {
+                "_pos": F.filter(F.transform(mask, lambda m, i: F.when(m != 0, i)), lambda p: p.isNotNull()),
+                returns: _keep(returns, mask),
+                energy: _keep(energy, mask),
+                mask: F.filter(mask, lambda m: m != 0),
+            }
         )
+        arrays.append("_pos")
+    rows = explode_tokens(t, [group, traj, "_len"], arrays)
     m = F.col(mask)
     weight = F.col(energy) * m
     steps = rows.groupBy(group, "t").agg(
-        F.count(F.lit(1)).alias("_rows"),
         (F.sum(F.col(returns) * weight) / (F.sum(weight) + F.lit(eps))).alias("_b"),
     )
-    out = join_skewed(rows, steps, [group, "t"], "_rows", hot_rows, spread_on=[traj]).drop("_rows")
+    # group figures ride on the per-step rows, so whole arrays are never shuffled by group
+    steps = steps.join(of_group, group)
+    # a step is at most as hot as its group; there is a row per step and group, so no broadcast
+    sizes = t.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    out = join_skewed(
+        rows, steps, [group, "t"], "_n", hot_rows, spread_on=[traj], sizes=sizes, size_keys=[group], hint="shuffle_hash"
+    )
     base = F.when(F.col("_n") > 1, F.col("_b")).otherwise(F.lit(0.0))
     if zero_tail:
         tail = (F.col("_len") == F.col("_max")) & (F.col("_max") > F.col("_second")) & (F.col("t") >= F.col("_second"))

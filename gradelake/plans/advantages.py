@@ -88,10 +88,10 @@ def _(spark, sf):
    SELECT uid, part, supp, line, score, CASE WHEN r = 1 THEN round((score - nxt) / (s + 1e-6), 6) ELSE 0 END AS advantage FROM k""",
 )
 def _(spark, sf):
-    rows = group_scores(spark, sf)
-    big = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("uid")
     # the estimator refuses groups of one; the row key has to tell every row of a group apart
-    indexed = with_row_index(rows.join(big, "uid", "left_semi"), ["uid", "part", "supp", "line", "score", "length"])
+    rows = group_scores(spark, sf).withColumn("row_idx", F.monotonically_increasing_id())
+    big = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("uid")
+    indexed = rows.join(big, "uid", "left_semi")
     return _out(adv.grpo_pass_at_k(indexed, row_key=["part", "supp", "line", "row_idx"]))
 
 

@@ -321,7 +321,8 @@ def _loss_query(name: str, loss: str, mode: str = "token-mean"):
 
     @query(name, TOK + PL + src[0] + f"SELECT {', '.join(cols)} FROM {src[1]}")
     def run(spark, sf):
-        return _rounded(L.policy_loss(_frame(spark, sf), loss, mode, scale=1000.0))
+        per_token = mode == "token-mean"
+        return _rounded(L.policy_loss((tokens if per_token else _frame)(spark, sf), loss, mode, scale=1000.0))
 
 
 for _m in L.AGG_MODES:
@@ -338,7 +339,7 @@ for _l in ("gspo", "sapo"):
       {', '.join(f"round({_mm(LOSS_SQL['vanilla'][k])}, 6) AS {k}" for k in ('pg_clipfrac', 'ppo_kl', 'pg_clipfrac_lower'))} FROM p""",
 )
 def _(spark, sf):
-    return _rounded(L.bypass_loss(_frame(spark, sf)))
+    return _rounded(L.bypass_loss(tokens(spark, sf)))
 
 
 @query(
@@ -349,7 +350,7 @@ def _(spark, sf):
     round({_mm("-d")}, 6) AS ppo_kl, round({_mm("(d < -0.2 OR d > 0.2)::INT*(adv < 0)::INT")}, 6) AS pg_clipfrac_lower FROM p""",
 )
 def _(spark, sf):
-    return _rounded(L.geo_mean_loss(_frame(spark, sf)))
+    return _rounded(L.geo_mean_loss(tokens(spark, sf)))
 
 
 @query(
@@ -360,12 +361,12 @@ def _(spark, sf):
   SELECT round(sum((-adv*exp(d) + CASE WHEN mask = 1 AND r <= greatest(1, floor(nn*0.002)) THEN abs(d) ELSE 0 END)*mask)/sum(mask), 6) AS loss, round({_mm("abs(d)")}, 6) AS ppo_kl FROM c""",
 )
 def _(spark, sf):
-    return _rounded(L.kl_cov_loss(_frame(spark, sf), ratio=0.002))
+    return _rounded(L.kl_cov_loss(tokens(spark, sf), ratio=0.002))
 
 
 @query("offp13_clip_covariance_loss")
 def _(spark, sf):
-    return _rounded(L.clip_cov_loss(_frame(spark, sf), ratio=0.0002, lower=0.05, upper=5.0))
+    return _rounded(L.clip_cov_loss(tokens(spark, sf), ratio=0.0002, lower=0.05, upper=5.0))
 
 
 @query(
@@ -375,7 +376,7 @@ def _(spark, sf):
      round({_mm("(pow(greatest(least(adv,ref_lp+0.2),ref_lp-0.2)-value,2) > pow(adv-value,2))::INT")}, 6) AS vf_clipfrac FROM p""",
 )
 def _(spark, sf):
-    return _rounded(L.value_loss(_frame(spark, sf), "adv", "value", "ref_lp", 0.2))
+    return _rounded(L.value_loss(tokens(spark, sf), "adv", "value", "ref_lp", 0.2))
 
 
 @query(

@@ -26,5 +26,16 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     return register
 
 
+# Tables whose rows carry long text or arrays: work per row is heavy, so a scan should use every core.
+WIDE = ("documents", "conversations", "pages", "embeddings")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in WIDE else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when the input has fewer splits than cores; a larger input is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

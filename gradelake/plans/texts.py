@@ -13,7 +13,7 @@ from gradelake.functions import think as TH
 from gradelake.functions import toolcalls as TC
 from gradelake.operators import evaluation as ev
 from gradelake.plans.derived import RESPONSES_SQL, responses, with_
-from gradelake.plans.registry import query, table
+from gradelake.plans.registry import query, spread, table
 
 RESP = with_(RESPONSES_SQL)
 STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -125,7 +125,7 @@ def _(spark, sf):
         .when(k == 6, F.concat(F.lit("open \\boxed{a^{"), c, F.lit("} only")))
         .otherwise(F.concat(F.lit("mid $\\pi$ then "), c, F.lit(" words here.")))
     )
-    return table(spark, sf, "orders").select("o_orderkey", X.extract_boxed(text).alias("predicted"))
+    return spread(table(spark, sf, "orders")).select("o_orderkey", X.extract_boxed(text).alias("predicted"))
 
 
 GRADE_SQL = f""", graded AS (SELECT *, coalesce({', '.join(_last(p) for p in INT_SQL)}) AS predicted FROM post)
@@ -161,7 +161,7 @@ def _(spark, sf):
     for i, (g, p) in enumerate(cases):
         gold = F.when(k == i, g) if gold is None else gold.when(k == i, g)
         pred = F.when(k == i, p) if pred is None else pred.when(k == i, p)
-    rows = table(spark, sf, "orders").select("o_orderkey", gold.alias("gold"), pred.alias("pred"))
+    rows = spread(table(spark, sf, "orders")).select("o_orderkey", gold.alias("gold"), pred.alias("pred"))
     return LX.grade_latex(rows, "pred", "gold").select("o_orderkey", "correct")
 
 
@@ -170,7 +170,7 @@ def _(spark, sf):
     "SELECT o_orderkey, least(11, 2 + greatest(0, floor((CAST(floor(o_totalprice / 5) AS BIGINT) - 1) / 5000)))::BIGINT AS cap FROM orders",
 )
 def _(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", X.adaptive_cap(F.floor(F.col("o_totalprice") / 5)).alias("cap"))
+    return spread(table(spark, sf, "orders")).select("o_orderkey", X.adaptive_cap(F.floor(F.col("o_totalprice") / 5)).alias("cap"))
 
 
 LINES_SQL = r""", ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE length(text) > 0),
@@ -186,7 +186,7 @@ LINES_SQL = r""", ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l
       AND NOT regexp_matches(body, '^\s*\*{0,2}\s*[\pL\pN_]+(?:\s+[\pL\pN_]+){0,2}\s*[:：.]\s*\*{0,2}\s*$')
       AND NOT regexp_matches(body, '(?i)^\s*(?:ANCHOR\b|FINDING\b|</?think>|<\|?channel)')),
     c AS (SELECT doc_id, r, CASE WHEN length(body) > 500 THEN regexp_replace(left(body, 500), '\s+$', '') || '...' ELSE body END AS f FROM g WHERE r <= 8)
-   SELECT doc_id, count(*) AS n, md5(string_agg(f, '|' ORDER BY r)) AS digest FROM c GROUP BY doc_id""",
+   SELECT d.doc_id, count(f) AS n, md5(coalesce(string_agg(f, '|' ORDER BY r), '')) AS digest FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id""",
 )
 def _(spark, sf):
     lines = F.transform(
@@ -197,7 +197,7 @@ def _(spark, sf):
     )
     raw = F.array_join(lines, "\n")
     d = table(spark, sf, "documents").select("doc_id", FD.parse_findings(raw, F.lit(8)).alias("f"))
-    return d.where(F.size("f") > 0).select("doc_id", F.size("f").cast("long").alias("n"), F.md5(F.array_join("f", "|")).alias("digest"))
+    return d.select("doc_id", F.size("f").cast("long").alias("n"), F.md5(F.array_join("f", "|")).alias("digest"))
 
 
 @query(
@@ -374,7 +374,7 @@ def _(spark, sf):
     n, k = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 4
     got = F.when(k == 0, F.concat(F.lit("[1, "), n, F.lit("]"))).when(k == 1, F.concat(n, F.lit(".0"))).otherwise(F.concat(F.lit("text "), n))
     want = F.when(k == 0, F.concat(F.lit("[ 1,"), n, F.lit(" ]"))).when(k == 1, n).when(k == 2, F.concat(F.lit("text "), n)).otherwise(n)
-    return table(spark, sf, "orders").select("o_orderkey", TC.literal_equal(got, want).alias("same"))
+    return spread(table(spark, sf, "orders")).select("o_orderkey", TC.literal_equal(got, want).alias("same"))
 
 
 @query(
@@ -415,7 +415,7 @@ def _(spark, sf):
     for i, (t, g) in enumerate(cases):
         text = F.when(k == i, t) if text is None else text.when(k == i, t)
         gold = F.when(k == i, g) if gold is None else gold.when(k == i, g)
-    return table(spark, sf, "orders").select("o_orderkey", R.score_boxed_math(text, gold).alias("score"))
+    return spread(table(spark, sf, "orders")).select("o_orderkey", R.score_boxed_math(text, gold).alias("score"))
 
 
 @query(
@@ -434,7 +434,7 @@ def _(spark, sf):
         .otherwise(w("nothing said ", ""))
     )
     gold = F.when(k == 0, w("1")).when(k == 1, w("frac{1}{", "}")).when(k == 2, c).when(k == 3, w("(", ",2)")).otherwise(c)
-    rows = table(spark, sf, "orders").select("o_orderkey", said.alias("t"), gold.alias("g"))
+    rows = spread(table(spark, sf, "orders")).select("o_orderkey", said.alias("t"), gold.alias("g"))
     return R.score_rows(rows, "stated", "t", "g").select("o_orderkey", "score", "acc", "pred")
 
 
@@ -548,7 +548,7 @@ def _(spark, sf):
         .when(k == 3, w("Answer: not "))
         .otherwise(w("<answer>", "</answer>"))
     )
-    return table(spark, sf, "orders").select("o_orderkey", R.score_by_source(src, text, c).alias("score"), R.scorer_of(src).alias("scorer"))
+    return spread(table(spark, sf, "orders")).select("o_orderkey", R.score_by_source(src, text, c).alias("score"), R.scorer_of(src).alias("scorer"))
 
 
 @query(
