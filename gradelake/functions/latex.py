@@ -16,7 +16,7 @@ _TOKEN = re.compile(r"\s*(\d+\.\d+|\.\d+|\d+|\\[a-zA-Z]+|[-+*/^!(){}\[\],%])")
 # Spellings that mean the same thing.
 _SAME = {
     "\\dfrac": "\\frac", "\\tfrac": "\\frac", "\\cdot": "*", "\\times": "*", "\\left": "", "\\right": "", "\\,": "", "\\!": "",
-    "\;": "", "\\ ": "", "$": "", "\\{": "", "\\}": "", "²": "^2",
+    "\\;": "", "\\ ": "", "$": "", "\\{": "", "\\}": "", "²": "^2",
 }
 
 
