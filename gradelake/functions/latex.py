@@ -185,3 +185,11 @@ def grade_any(kind: Column, predicted: Column, gold: Column) -> Column:
         .when(kind == "latex", F.coalesce(latex_equal(gold, predicted), F.lit(False)))
         .otherwise(F.lit(False))
     )
+
+
+def score_latex(text: Column, gold: Column, unread: float = 0.0) -> Column:
+    """1/0 for the response's final LaTeX answer against the gold one; ``unread`` where either cannot be read."""
+    from gradelake.functions.extract import extract_boxed
+
+    same = latex_equal(gold, extract_boxed(text))
+    return F.coalesce(same.cast("double"), F.lit(float(unread)))

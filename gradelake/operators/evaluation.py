@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradelake.functions.extract import extract_answer
 from gradelake.functions.think import strip_thinking
-from gradelake.operators.groups import last_wins, top_per_group
+from gradelake.operators.groups import join_skewed, last_wins, top_per_group
 
 KEY = ["problem_id", "sample_idx"]
 CELL = ["model", "dataset", "method"]
@@ -284,7 +284,9 @@ def lookup_with_fallback(preds: DataFrame, dataset: DataFrame) -> DataFrame:
     found = by_id.where(F.col("answer").isNotNull()).withColumn("matched_by", F.lit("id"))
     rest = by_id.where(F.col("answer").isNull()).drop("answer")
     questions = dataset.where(F.length("question") > 0).groupBy("question").agg(F.min_by("answer", "seq").alias("answer"))
-    by_text = rest.join(questions, "question", "inner").withColumn("matched_by", F.lit("question"))
+    asked = rest.groupBy("question").agg(F.count(F.lit(1)).alias("_n"))
+    by_text = join_skewed(rest, questions.join(asked, "question"), ["question"], "_n", sizes=asked).drop("_n")
+    by_text = by_text.withColumn("matched_by", F.lit("question"))
     return found.unionByName(by_text)
 
 

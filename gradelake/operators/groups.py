@@ -134,9 +134,11 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float]) -> DataFrame
 
     Ranks come from the distributed index, so no task buffers the column's distinct values.
     """
-    indexed = with_row_index(df.select(F.col(value).cast("double").alias("v")).where("v is not null"), ["v"])
+    values = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    # the tie column lets the range partitioning split a value that most rows share
+    indexed = with_row_index(values.withColumn("_tie", F.monotonically_increasing_id()), ["v", "_tie"]).drop("_tie")
     total = indexed.agg(F.count(F.lit(1)).alias("n"))
-    wanted = df.sparkSession.createDataFrame([(float(q),) for q in qs], "q double").crossJoin(F.broadcast(total))
+    wanted = df.sparkSession.createDataFrame([(float(q),) for q in qs], "q double").join(F.broadcast(total))  # one row
     wanted = wanted.withColumn("h", F.col("q") * (F.col("n") - 1)).withColumns(
         {"lo": F.floor("h").cast("long"), "hi": F.ceil("h").cast("long")}
     )

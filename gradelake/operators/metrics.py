@@ -243,3 +243,7 @@ def merge_meta(parts: Sequence[dict]) -> dict:
             elif merged.setdefault(key, value) != value:
                 raise ValueError(f"conflicting values for {key!r}")
     return merged
+
+
+def prefix_names(metrics: DataFrame, prefix: str, name: str = "name") -> DataFrame:
+    return metrics.withColumn(name, F.concat(F.lit(prefix), name))

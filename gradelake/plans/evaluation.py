@@ -316,6 +316,12 @@ def _(spark, sf):
     return ev.bucket_samples(_pairs(spark, sf), 5).select("bucket", "problem_id", "sample_idx")
 
 
+@query("so3_budget_order", with_(BASE_SQL) + "SELECT sample_idx, completion_tokens FROM base ORDER BY completion_tokens DESC, sample_idx")
+def _(spark, sf):
+    rows = baseline_runs(spark, sf).select("sample_idx", "completion_tokens")
+    return rows.orderBy(F.col("completion_tokens").desc(), "sample_idx")
+
+
 @query(
     "so4_first_two_per_problem",
     with_(BASE_SQL)

@@ -283,3 +283,8 @@ def _(spark, sf):
 
     a, b = F.transform("n", lambda x: x % 7), F.transform("n", lambda x, i: (x + i) % 7)
     return trajectories(spark, sf).select("traj", M.token_differences(a, b, F.col("mask")).alias("differing"))
+
+
+@query("tx40_prefixed_names", with_(NAMES_SQL) + "SELECT 'actor/' || name AS name, count(*) AS n FROM m GROUP BY 1")
+def _(spark, sf):
+    return M.prefix_names(_metric_rows(spark, sf), "actor/").groupBy("name").agg(F.count(F.lit(1)).alias("n"))

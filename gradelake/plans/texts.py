@@ -453,6 +453,40 @@ QA_SQL = r"""WITH b AS (SELECT doc_id, text, regexp_replace(regexp_replace(regex
 """
 
 
+@query(
+    "tx28_latex_score",
+    "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN 0.5 ELSE 1.0 - o_orderkey % 3 END::DOUBLE AS score FROM orders",
+)
+def _(spark, sf):
+    c, k = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 3
+    tail = F.when(k == 0, F.concat(F.lit("\\frac{"), c, F.lit("}{4} + 1"))).when(k == 1, F.concat(F.lit("-7 - "), c)).otherwise("x @ y")
+    text = F.concat(F.lit("so \\boxed{"), tail, F.lit("}"))
+    gold = F.concat(F.lit("1+"), (F.col("o_custkey") / 4).cast("string"))
+    rows = spread(table(spark, sf, "orders"))
+    return rows.select("o_orderkey", LX.score_latex(text, gold, unread=0.5).alias("score"))
+
+
+@query(
+    "tx29_marked_answer_score",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 5 THEN 1 ELSE 0 END::DOUBLE AS score FROM orders",
+)
+def _(spark, sf):
+    n = F.col("o_custkey") + 11
+    c, k = n.cast("string"), F.col("o_orderkey") % 7
+    w = lambda a, b="": F.concat(F.lit(a), c, F.lit(b))
+    text = (
+        F.when(k == 0, w("We add. The ANSWER is x = ", ""))
+        .when(k == 1, w("First. Answer: \\boxed{", "}"))
+        .when(k == 2, w("so we get ", ".00001"))
+        .when(k == 3, w("$1,", " is the answer to it"))
+        .when(k == 4, w("The value is ", "\\%"))
+        .when(k == 5, w("The answer is no ", "7 really"))
+        .otherwise(F.lit("no digits at all"))
+    )
+    gold = F.when(k == 3, F.concat(F.lit("1"), c)).when(k == 4, (n / 100).cast("string")).otherwise(c)
+    return spread(table(spark, sf, "orders")).select("o_orderkey", R.score_marked_answer(text, gold).alias("score"))
+
+
 @query(
     "tx30_qa_match_score",
     """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN 0.0 ELSE 0.0 END::DOUBLE AS exact, CASE doc_id % 4 WHEN 3 THEN 0.0 ELSE 1.0 END::DOUBLE AS contained
