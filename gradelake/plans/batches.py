@@ -29,11 +29,15 @@ def _(spark, sf):
 
 @query(
     "pr4_take_positions",
-    "SELECT c_custkey AS row_idx, o_custkey FROM customer JOIN orders ON o_orderkey = (c_custkey * 37) % 1500",
+    f"SELECT c_custkey AS row_idx, o_custkey FROM customer JOIN orders ON o_orderkey = (c_custkey * 37) % {N}",
 )
 def _(spark, sf):
-    pos = table(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), ((F.col("c_custkey") * 37) % 1500).alias("row_idx"))
-    return R.take(_rows(spark, sf), pos).select("row_idx", "o_custkey")
+    rows = _rows(spark, sf)
+    total = rows.agg(F.count(F.lit(1)).alias("n"))  # one row
+    pos = table(spark, sf, "customer").join(F.broadcast(total)).select(
+        F.col("c_custkey").alias("pos"), ((F.col("c_custkey") * 37) % F.col("n")).alias("row_idx")
+    )
+    return R.take(rows, pos).select("row_idx", "o_custkey")
 
 
 @query(

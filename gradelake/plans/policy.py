@@ -226,7 +226,7 @@ def _(spark, sf):
     "offp9_kl_estimators",
     TOK
     + """, d AS (SELECT traj, mask, new_lp - ref_lp AS k, greatest(least(ref_lp - new_lp, 20), -20) AS x FROM tok)
-  SELECT traj, round(sum(k*mask), 6) AS k1, round(sum(abs(k)*mask), 6) AS abs_kl, round(sum(0.5*k*k*mask), 6) AS k2,
+  SELECT traj, round(sum(k*mask), 6) + 0.0::DOUBLE AS k1, round(sum(abs(k)*mask), 6) AS abs_kl, round(sum(0.5*k*k*mask), 6) AS k2,
     round(sum(greatest(least(exp(x)-x-1, 10), -10)*mask), 6) AS k3 FROM d GROUP BY traj""",
 )
 def _(spark, sf):
@@ -240,7 +240,7 @@ def _(spark, sf):
     "offp10_kl_in_reward",
     TOK
     + """, s AS (SELECT traj, sum(reward - 0.05*(old_lp-ref_lp)*mask) AS r, sum((old_lp-ref_lp)*mask)/(sum(mask)+1e-8) AS k FROM tok GROUP BY traj)
-  SELECT traj, round(r, 6) AS token_reward, round(k, 6) AS seq_kl FROM s""",
+  SELECT traj, round(r, 6) AS token_reward, round(k, 6) + 0.0::DOUBLE AS seq_kl FROM s""",
 )
 def _(spark, sf):
     out = L.kl_in_reward(tokens(spark, sf), 0.05)

@@ -96,15 +96,24 @@ def _(spark, sf):
     return _answers(spark, sf).select("doc_id", X.extract_code(F.col("answer_text")).alias("predicted"))
 
 
+BOXED_SQL = r""", bt AS (SELECT doc_id, answer_text AS t, regexp_replace(answer_text, '[\s.,;:!?]+$', '') AS body, regexp_replace(answer_text, '\s+$', '') AS rt FROM post),
+ cut AS (SELECT *, length(t) - length(body) <= 50 AS near, left(body, length(body) - 2) AS b2, left(body, length(body) - 1) AS b1, string_split(rt, chr(10)) AS ls FROM bt),
+ pick AS (SELECT *, list_last(regexp_extract_all(t, '\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}', 1)) AS box,
+   CASE WHEN near AND ends_with(body, '$$') AND contains(b2, '$$') THEN nullif(regexp_replace(list_last(string_split(b2, '$$')), '^\s+|\s+$', '', 'g'), '') END AS dd,
+   CASE WHEN near AND ends_with(body, '\]') AND contains(b2, '\[') THEN nullif(regexp_replace(list_last(string_split(b2, '\[')), '^\s+|\s+$', '', 'g'), '') END AS sq,
+   CASE WHEN near AND ends_with(body, '$') AND contains(b1, '$') THEN nullif(regexp_replace(list_last(string_split(b1, '$')), '^\s+|\s+$', '', 'g'), '') END AS one,
+   regexp_replace(ls[len(ls)], '^\s+|\s+$', '', 'g') AS last, coalesce(regexp_replace(ls[len(ls) - 1], '^\s+|\s+$', '', 'g'), '') AS prev FROM cut)
+"""
+
+
 @query(
     "tx8_extract_boxed",
-    RESP
-    + """SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN CAST(n_chars AS VARCHAR) WHEN 8 THEN '\\frac{' || n_chars || '}{' || (doc_id + 1) || '}' END AS predicted
-       FROM responses WHERE doc_id % 9 IN (1, 8)""",
+    RESP + POST_SQL + BOXED_SQL
+    + r"""SELECT doc_id, coalesce(box, dd, sq, CASE WHEN NOT contains(one, chr(10)) THEN CASE WHEN contains(replace(replace(replace(replace(one, '==', ''), '<=', ''), '>=', ''), '!=', ''), '=') THEN trim(list_last(string_split(one, '='))) ELSE one END END,
+      CASE WHEN length(last) BETWEEN 1 AND 80 AND prev = '' AND NOT regexp_matches(last, '(^|[^\pL\pN\pM_])[a-zA-Z]{3,}($|[^\pL\pN\pM_])') THEN last END) AS predicted FROM pick""",
 )
 def _(spark, sf):
-    boxed = _answers(spark, sf).where(F.contains("response", F.lit("\\boxed{")))
-    return boxed.select("doc_id", X.extract_boxed(F.col("answer_text")).alias("predicted"))
+    return _answers(spark, sf).select("doc_id", X.extract_boxed(F.col("answer_text")).alias("predicted"))
 
 
 @query(
@@ -217,29 +226,23 @@ def _(spark, sf):
     return d.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
-PAIR_TEXT_SQL = """, p AS (SELECT doc_id, text, substr(text, 30, 60) AS a1, substr(text, 1, 50) AS a2, doc_id % 4 AS k FROM documents WHERE length(text) > 200)
-"""
-
-
 def _pair_text(spark, sf):
     t, k = F.col("text"), F.col("doc_id") % 4
     clean = lambda s: F.regexp_replace(F.regexp_replace(s, r'["“”\n]', "x"), r"\s", "_")
-    a1, a2 = clean(F.substr(t, F.lit(30), F.lit(60))), clean(F.substr(t, F.lit(1), F.lit(50)))
+    a1 = F.concat(F.lit("k"), clean(F.substr(t, F.lit(30), F.lit(60))))
+    a2 = F.concat(F.lit("m"), clean(F.substr(t, F.lit(1), F.lit(50))))
     raw = F.concat(
         F.lit('ANCHOR 2: "'), a1, F.lit('"\nFINDING 2: first '), a1, F.lit("\n\nANCHOR 10: “"), a2, F.lit("”\nFINDING 10: second "), a2,
         F.lit('"\nanchor 1: "dropped"\n'),
     )
-    d = table(spark, sf, "documents").where(F.length("text") > 200)
+    d = table(spark, sf, "documents")
     return d.select("doc_id", "text", F.when(k == 0, F.concat(F.lit("no_progress "), raw)).otherwise(raw).alias("raw"), a1.alias("a1"), a2.alias("a2"))
 
 
-CLEAN = r"regexp_replace(regexp_replace({x}, '[\"“”\n]', 'x', 'g'), '\s', '_', 'g')"
-
-
 @query(
     "tx14_anchor_pairs",
-    r"""WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(substr(text, 30, 60), '["“”\n]', 'x', 'g'), '\s', '_', 'g') AS a1,
-       regexp_replace(regexp_replace(substr(text, 1, 50), '["“”\n]', 'x', 'g'), '\s', '_', 'g') AS a2 FROM documents WHERE length(text) > 200)
+    r"""WITH p AS (SELECT doc_id, 'k' || regexp_replace(regexp_replace(substr(text, 30, 60), '["“”\n]', 'x', 'g'), '\s', '_', 'g') AS a1,
+       'm' || regexp_replace(regexp_replace(substr(text, 1, 50), '["“”\n]', 'x', 'g'), '\s', '_', 'g') AS a2 FROM documents)
      SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 2 END::BIGINT AS pairs,
        CASE WHEN doc_id % 4 = 0 THEN '' ELSE a1 || '>first ' || a1 || '|' || a2 || '>second ' || a2 END AS joined FROM p""",
 )
@@ -251,8 +254,9 @@ def _(spark, sf):
 
 @query(
     "tx15_ag6_anchor_match_rates",
-    """SELECT CASE WHEN doc_id % 3 = 0 THEN 'verbatim' WHEN doc_id % 3 = 1 THEN 'fuzzy' ELSE 'none' END AS matched, count(*) AS n FROM documents
-        WHERE length(trim(text)) > 120 AND NOT regexp_matches(left(text, 100), '\\s\\s|^\\s') GROUP BY 1""",
+    r"""WITH d AS (SELECT text, CASE doc_id % 3 WHEN 0 THEN left(text, 90) WHEN 1 THEN left(text, 60) || '§ changed' ELSE '§ nowhere ' || left(text, 60) END AS raw FROM documents),
+     a AS (SELECT text, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS a FROM d), p AS (SELECT *, regexp_replace(left(a, 40), '^\s+|\s+$', '', 'g') AS p FROM a)
+     SELECT CASE WHEN length(a) >= 10 AND contains(text, a) THEN 'verbatim' WHEN length(a) >= 10 AND length(p) >= 12 AND contains(text, p) THEN 'fuzzy' ELSE 'none' END AS matched, count(*) AS n FROM p GROUP BY 1""",
 )
 def _(spark, sf):
     t, k = F.col("text"), F.col("doc_id") % 3
@@ -261,9 +265,7 @@ def _(spark, sf):
         .when(k == 1, F.concat(F.left(t, F.lit(60)), F.lit("§ changed")))
         .otherwise(F.concat(F.lit("§ nowhere "), F.left(t, F.lit(60))))
     )
-    d = table(spark, sf, "documents").where(
-        (F.length(F.trim(t)) > 120) & ~F.rlike(F.left(t, F.lit(100)), F.lit(r"\s\s|^\s"))
-    )
+    d = table(spark, sf, "documents")
     return d.groupBy(FD.anchor_match(t, F.array(anchor)).alias("matched")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -337,12 +339,12 @@ def _(spark, sf):
 
 @query(
     "tx21_strip_code_fences",
-    r"""SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN regexp_replace(text, '^\n+|\n+$', '', 'g') WHEN 1 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END) AS digest FROM documents WHERE NOT contains(text, '```')""",
+    r"""SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN regexp_replace(text, '^\n+|\n+$', '', 'g') WHEN 1 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END) AS digest FROM documents""",
 )
 def _(spark, sf):
     t, k = F.col("text"), F.col("doc_id") % 3
     raw = F.when(k == 0, F.concat(F.lit("see ```python"), t, F.lit("``` end"))).when(k == 1, F.concat(t, F.lit("\n```"))).otherwise(t)
-    d = table(spark, sf, "documents").where(~F.contains(t, F.lit("```")))
+    d = table(spark, sf, "documents")
     return d.select("doc_id", F.md5(X.strip_code_fences(raw)).alias("digest"))
 
 
@@ -449,10 +451,6 @@ def _(spark, sf):
     return responses(spark, sf).select("doc_id", s.alias("s")).select("doc_id", "s.score", "s.pred")
 
 
-QA_SQL = r"""WITH b AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(lower(text), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g') AS n FROM documents)
-"""
-
-
 @query(
     "tx28_latex_score",
     "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN 0.5 ELSE 1.0 - o_orderkey % 3 END::DOUBLE AS score FROM orders",
@@ -490,7 +488,7 @@ def _(spark, sf):
 @query(
     "tx30_qa_match_score",
     """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN 0.0 ELSE 0.0 END::DOUBLE AS exact, CASE doc_id % 4 WHEN 3 THEN 0.0 ELSE 1.0 END::DOUBLE AS contained
-       FROM documents WHERE length(trim(text)) > 100 AND lang = 'en'""",
+       FROM documents""",
 )
 def _(spark, sf):
     t, k = F.col("text"), F.col("doc_id") % 4
@@ -501,7 +499,7 @@ def _(spark, sf):
         .when(k == 2, tag(F.concat(t, F.lit(" and more words"))))
         .otherwise(t)
     )
-    d = table(spark, sf, "documents").where((F.length(F.trim(t)) > 100) & (F.col("lang") == "en"))
+    d = table(spark, sf, "documents")
     golds = F.array(F.lit("zzz"), t)
     return d.select("doc_id", R.score_qa(said, golds).alias("exact"), R.score_qa(said, golds, substring=True).alias("contained"))
 
