@@ -34,9 +34,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
     """Tells rows apart that share an id: with the id it is the key of joins back to the documents."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    return F.xxhash64(doc_id, text)
+
+
+class Held:
+    """Documents under names that no column of an operator can clash with; ``back`` gives them their own names again."""
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.docs = docs.select(*[F.col(f"`{c}`").alias(f"column_{i}") for i, c in enumerate(self.names)])
+
+    def col(self, name: str) -> Column:
+        return F.col(f"column_{self.names.index(name)}")
+
+    def back(self, rows: DataFrame, *more: Column) -> DataFrame:
+        return rows.select(*[F.col(f"column_{i}").alias(c) for i, c in enumerate(self.names)], *more)
 
 
 def same_row(left: DataFrame, right: DataFrame, keys: list[str], right_keys: list[str]) -> Column:

@@ -155,8 +155,9 @@ def leaks(
 
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that leak no item. Only the keys of leaking rows are joined back."""
-    key = ["doc_id", "row_"]
-    keyed = docs.withColumn("row_", C.row_key())
-    found = C.written(leaks(keyed.select("doc_id", "row_", "text"), items, key, threshold).select(*key).distinct(), "leaks")
-    found = found.select(F.col("doc_id").alias("leak_id_"), F.col("row_").alias("leak_row_"))
-    return keyed.join(found, C.same_row(keyed, found, key, ["leak_id_", "leak_row_"]), "left_anti").drop("row_")
+    keyed = docs.select("doc_id", C.row_key().alias("row_"), "text")
+    found = leaks(keyed, items, ["doc_id", "row_"], threshold).select(F.col("doc_id").alias("leak_id"), F.col("row_").alias("leak_row"))
+    found = C.written(found.distinct(), "leaks")
+    held = C.Held(docs)
+    rows = held.docs.withColumns({"own_id": held.col("doc_id"), "own_row": C.row_key(held.col("doc_id"), held.col("text"))})
+    return held.back(rows.join(found, C.same_row(rows, found, ["own_id", "own_row"], ["leak_id", "leak_row"]), "left_anti"))

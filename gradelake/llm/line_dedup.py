@@ -83,17 +83,14 @@ def kept_flags(runs: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``."""
-    flags = bitmaps.select(F.col("doc_id").alias("id_"), F.col("row_").alias("key_"), kept_flags(F.col("runs")).alias("flags_"))
-    keyed = docs.withColumn("key_of_", C.row_key())
-    found = keyed.join(flags, C.same_row(keyed, flags, ["doc_id", "key_of_"], ["id_", "key_"]), "left")
-    lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda _, i: F.coalesce(F.get("flags_", i), F.lit(True)))
-    text = F.when(F.col("flags_").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    n_dropped = F.coalesce(F.size(F.filter("flags_", lambda x: ~x)), F.lit(0))
-    return found.select(
-        *[found[c] for c in docs.columns],
-        text.alias("kept_text"),
-        F.size(lines).cast("bigint").alias("n_lines"),
-        n_dropped.cast("bigint").alias("n_dropped"),
-    )
+    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``, which replace columns of these names."""
+    flags = bitmaps.select(F.col("doc_id").alias("flags_id"), F.col("row_").alias("flags_row"), kept_flags(F.col("runs")).alias("flags"))
+    held = C.Held(docs.drop("kept_text", "n_lines", "n_dropped"))
+    rows = held.docs.withColumns({"own_id": held.col("doc_id"), "own_row": C.row_key(held.col("doc_id"), held.col("text"))})
+    found = rows.join(flags, C.same_row(rows, flags, ["own_id", "own_row"], ["flags_id", "flags_row"]), "left")
+    whole = F.coalesce(held.col("text"), F.lit(""))
+    lines = _lines(whole)
+    kept = F.filter(lines, lambda _, i: F.coalesce(F.get("flags", i), F.lit(True)))
+    text = F.when(F.col("flags").isNull(), whole).otherwise(F.array_join(kept, "\n"))
+    n_dropped = F.coalesce(F.size(F.filter("flags", lambda x: ~x)), F.lit(0))
+    return held.back(found, text.alias("kept_text"), F.size(lines).cast("bigint").alias("n_lines"), n_dropped.cast("bigint").alias("n_dropped"))

@@ -164,14 +164,15 @@ def mix(
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
     """The mix as documents: each row as often as its words are taken on average, the fraction drawn by a seeded hash."""
-    keyed = docs.withColumn("row_", C.row_key())
     key = ["doc_id", "row_"]
-    shares = mix(keyed, weights, repeats, seed=seed, keys=key)
+    shares = mix(docs.select("doc_id", "source", "text", C.row_key().alias("row_")), weights, repeats, seed=seed, keys=key)
     often = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1.0))
     chance = F.pmod(F.xxhash64(F.lit(seed), "row_"), F.lit(1 << 20)) / float(1 << 20)
-    times = shares.select(*key, F.floor(often + chance).cast("int").alias("times_"))
+    times = shares.select(*key, F.floor(often + chance).cast("int").alias("times"))
     # equal rows have equal keys and get the mean of their times
-    times = times.groupBy(*key).agg(F.round(F.avg("times_")).cast("int").alias("times_")).where("times_ > 0")
-    times = C.written(times.select(F.col("doc_id").alias("id_"), F.col("row_").alias("key_"), "times_"), "times")
-    found = keyed.join(times, C.same_row(keyed, times, key, ["id_", "key_"]))
-    return found.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*docs.columns)
+    times = times.groupBy(*key).agg(F.round(F.avg("times")).cast("int").alias("times")).where("times > 0")
+    times = C.written(times.select(F.col("doc_id").alias("mix_id"), F.col("row_").alias("mix_row"), "times"), "times")
+    held = C.Held(docs)
+    rows = held.docs.withColumns({"own_id": held.col("doc_id"), "own_row": C.row_key(held.col("doc_id"), held.col("text"))})
+    found = rows.join(times, C.same_row(rows, times, ["own_id", "own_row"], ["mix_id", "mix_row"]))
+    return held.back(found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))))

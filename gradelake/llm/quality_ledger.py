@@ -144,6 +144,6 @@ def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def filter_documents(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The documents that pass, with the columns they came with (whatever those are named)."""
-    packed = docs.select("text", *[F.col(f"`{c}`").alias(f"column_{i}") for i, c in enumerate(docs.columns)])
-    kept = ledger(packed, packed.columns[1:]).where(passes(policy))
-    return kept.select(*[F.col(f"column_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    held = C.Held(docs)
+    packed = held.docs.withColumn("text", held.col("text"))
+    return held.back(ledger(packed, held.docs.columns).where(passes(policy)))
