@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
+#: Rows that Spark hands to Python at once: texts are long, and a batch is held whole.
+BATCH_ROWS = 2000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -34,6 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_texts(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches small enough for rows of text; a smaller setting of the session stays."""
+    conf = rows.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return rows.mapInArrow(function, schema)
+
+
 def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
     """Tells rows apart that share an id: with the id it is the key of joins back to the documents."""
     return F.xxhash64(doc_id, text)
@@ -49,8 +59,11 @@ class Held:
     def col(self, name: str) -> Column:
         return F.col(f"column_{self.names.index(name)}")
 
-    def back(self, rows: DataFrame, *more: Column) -> DataFrame:
-        return rows.select(*[F.col(f"column_{i}").alias(c) for i, c in enumerate(self.names)], *more)
+    def back(self, rows: DataFrame, **more: Column) -> DataFrame:
+        own = [f"column_{i}" for i in range(len(self.names))]
+        # named in a second step, so that no expression can mean a column that is being named
+        made = rows.select(*own, *[c.alias(f"more_{i}") for i, c in enumerate(more.values())])
+        return made.select(*[F.col(a).alias(b) for a, b in zip(made.columns, [*self.names, *more])])
 
 
 def same_row(left: DataFrame, right: DataFrame, keys: list[str], right_keys: list[str]) -> Column:

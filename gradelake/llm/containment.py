@@ -148,7 +148,7 @@ def leaks(
                     columns.append(pa.array([h[2] / n for h, n in zip(hits, size)], pa.float64()))
                     yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], "item_id", "n_shared", "n_item", "containment"])
 
-        part = texts.mapInArrow(search, schema)
+        part = C.map_texts(texts, search, schema)
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -162,7 +162,7 @@ def scan(docs: DataFrame, threshold: float = DISCLOSES) -> DataFrame:
     id_type = dict(docs.dtypes)["doc_id"]
     near_type = "array<struct<entity:string,context:string>>"
     schema = f"doc_id {id_type}, row_ bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, near {near_type}"
-    found = C.written(docs.select("text", "doc_id", C.row_key().alias("row_")).mapInArrow(_scan, schema), "entities")
+    found = C.written(C.map_texts(docs.select("text", "doc_id", C.row_key().alias("row_")), _scan, schema), "entities")
     near = found.where(F.size("near") > 0).select("doc_id", "row_", F.inline("near"))
     pairs = C.written(disclosing(docs, near, threshold), "disclosing")
     per_row = near.select("doc_id", "row_", "entity").distinct().join(pairs, "entity")
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, threshold: float = DISCLOSES) -> DataFrame:
     asked = C.written(asked, "asked")
     keyed = docs.select("doc_id", C.row_key().alias("row_"), "text")
     texts = keyed.join(asked, C.same_row(keyed, asked, ["doc_id", "row_"], ["id_", "key_"])).select("text", "id_", "key_", "base", "terms")
-    marked = texts.mapInArrow(_mark, f"id_ {id_type}, key_ bigint, every string").distinct()
+    marked = C.map_texts(texts, _mark, f"id_ {id_type}, key_ bigint, every string").distinct()
     rows = found.join(marked, C.same_row(found, marked, ["doc_id", "row_"], ["id_", "key_"]), "left")
     spans = F.coalesce("every", "base")
     n_term = F.size(F.filter(F.split(spans, ","), lambda s: s.startswith("term:")))
@@ -206,4 +206,4 @@ def sanitise(docs: DataFrame, threshold: float = DISCLOSES) -> DataFrame:
     spans = scan(docs, threshold).select(F.col("doc_id").alias("id_"), F.col("row_").alias("key_"), "spans").distinct()
     keyed = docs.select("doc_id", C.row_key().alias("row_"), F.coalesce("text", F.lit("")).alias("text"))
     rows = keyed.join(spans, C.same_row(keyed, spans, ["doc_id", "row_"], ["id_", "key_"]))
-    return rows.select("text", "doc_id", "spans").mapInArrow(_clean, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")
+    return C.map_texts(rows.select("text", "doc_id", "spans"), _clean, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")

@@ -248,4 +248,4 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     kinds = ", ".join(f"{n} {t}" for n, t in pages.select("page_id", "url").dtypes)
-    return pages.select("html", "page_id", "url").mapInArrow(_extract, f"{kinds}, text string, n_chars bigint")
+    return C.map_texts(pages.select("html", "page_id", "url"), _extract, f"{kinds}, text string, n_chars bigint")

@@ -93,4 +93,4 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     kept = F.filter(lines, lambda _, i: F.coalesce(F.get("flags", i), F.lit(True)))
     text = F.when(F.col("flags").isNull(), whole).otherwise(F.array_join(kept, "\n"))
     n_dropped = F.coalesce(F.size(F.filter("flags", lambda x: ~x)), F.lit(0))
-    return held.back(found, text.alias("kept_text"), F.size(lines).cast("bigint").alias("n_lines"), n_dropped.cast("bigint").alias("n_dropped"))
+    return held.back(found, kept_text=text, n_lines=F.size(lines).cast("bigint"), n_dropped=n_dropped.cast("bigint"))

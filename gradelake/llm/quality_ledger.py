@@ -101,7 +101,7 @@ def ledger(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per document: ``keys`` (default the id), the measurements and ``failed``, the bits of the rules."""
     keys = ["doc_id"] if keys is None else keys
     kinds = ", ".join([*(f"`{n}` {t}" for n, t in docs.select(*keys).dtypes), *(f"{m} bigint" for m in MEASURES)])
-    measured = docs.select(F.col("text").alias("text"), *keys).mapInArrow(_measures, kinds)
+    measured = C.map_texts(docs.select(F.col("text").alias("text"), *keys), _measures, kinds)
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())]
     failed = bits[0]
     for bit in bits[1:]:

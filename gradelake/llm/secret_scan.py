@@ -53,6 +53,8 @@ _DATE = re.compile(
     r"(?:19|20)\d{2}([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:(?:19|20)\d{2}|\d{2})|(?:19|20)\d{2}"
 )
 _SEGMENT = math.log10(2)
+#: The longest unit of a repeat.
+_UNIT = 12
 
 
 def _adjacent() -> set[tuple[str, str]]:
@@ -106,6 +108,8 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
     walk = [0] * n
     for i in range(1, n):
         walk[i] = walk[i - 1] if (plain[i - 1], plain[i]) in ADJACENT or abs(ord(low[i]) - ord(low[i - 1])) == 1 else i
+    # how far the value up to here repeats what stands one unit before
+    same = [0] * (_UNIT + 1)
     dates: dict[int, list[tuple[int, float]]] = {}
     for i in range(n):
         m = _DATE.match(value, i) if value[i].isdigit() else None
@@ -123,14 +127,12 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
         start = walk[j - 1]
         if j - start >= 3:
             options.append((best[start] + math.log10(47 * 2 * (j - start)) + _SEGMENT, "walk"))
-        for unit in range(1, min(12, j // 2) + 1):
-            # a unit that stands at least twice before this place: its own cost, times how often
-            if low[j - unit : j] == low[j - 2 * unit : j - unit]:
-                times = 2
-                while (times + 1) * unit <= j and low[j - (times + 1) * unit : j - times * unit] == low[j - unit : j]:
-                    times += 1
-                once = best[j - (times - 1) * unit]
-                options.append((once + math.log10(times) + _SEGMENT, "repeat"))
+        for unit in range(1, min(_UNIT, j - 1) + 1):
+            same[unit] = same[unit] + 1 if low[j - 1] == low[j - 1 - unit] else 0
+            if same[unit] >= unit:
+                # the cost of the first unit, times how often it stands
+                times = same[unit] // unit + 1
+                options.append((best[j - (times - 1) * unit] + math.log10(times) + _SEGMENT, "repeat"))
         best[j], kind[j] = min(options)
     return best[n]
 
@@ -203,7 +205,7 @@ def letter_runs(text):
 def value_costs(docs: DataFrame, values: DataFrame) -> DataFrame:
     """(value, guesses_log10) of every different value; ``values`` has one row per place, so that its words can be taken off."""
     distinct = values.groupBy("value").agg(F.count(F.lit(1)).alias("places"))
-    parts = C.written(distinct.select("value").mapInArrow(_parts, "value string, parts array<string>").select("value", F.explode("parts").alias("word")), "parts")
+    parts = C.written(C.map_texts(distinct.select("value"), _parts, "value string, parts array<string>").select("value", F.explode("parts").alias("word")), "parts")
     # all words of all documents, summed before they move
     counts = docs.select(letter_runs(F.col("text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     own = distinct.select("places", letter_runs(F.col("value")).alias("word")).groupBy("word").agg(F.sum("places").alias("own"))
@@ -216,14 +218,14 @@ def value_costs(docs: DataFrame, values: DataFrame) -> DataFrame:
     priced = known.join(F.broadcast(total)).select("word", cost.alias("cost"))
     words = parts.join(priced, "word").groupBy("value").agg(F.collect_list(F.struct("word", "cost")).alias("words"))
     rows = distinct.select("value").join(words, "value", "left").select("value", F.coalesce("words", F.array().cast("array<struct<word:string,cost:double>>")).alias("words"))
-    return rows.mapInArrow(_costs, "value string, guesses_log10 double")
+    return C.map_texts(rows, _costs, "value string, guesses_log10 double")
 
 
 def scan(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess."""
     id_type = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {id_type}, row_ bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, base string, `values` array<struct<start:bigint,`end`:bigint,value:string>>"
-    found = C.written(docs.select("text", "doc_id", C.row_key().alias("row_")).mapInArrow(_scan, schema), "secrets")
+    found = C.written(C.map_texts(docs.select("text", "doc_id", C.row_key().alias("row_")), _scan, schema), "secrets")
     # rows that are equal in id and text have the same values
     places = found.where(F.size("values") > 0).select("doc_id", "row_", F.inline("values"))
     costs = C.written(value_costs(docs, places).where(F.col("guesses_log10") >= guesses), "costs")

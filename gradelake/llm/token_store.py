@@ -7,8 +7,8 @@ task), with version-2 pages: integers and list levels are delta- or run-length c
 column chunk has a page index. Reading metadata touches no token page; reading a few documents by id uses the page index.
 
 Words are encoded once per task and then looked up, which gives exactly the ids of encoding the whole text: the
-tokenizer never joins anything across a blank. Words of plain letters are cut and lower-cased here and go to the
-tokenizer's own model in bulk; every other word goes through the whole tokenizer.
+tokenizer never joins anything across a blank, nor letters and signs. Words of plain letters or signs are lower-cased
+here and go to the tokenizer in long lines; every other word goes through all its steps on its own.
 
 Defined cases: a null or empty text has the end id only; null ids come first; rows with equal ids are ordered by text,
 and rows that are equal in both are interchangeable; other columns are not stored unless named in ``meta``.
@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,20 @@ CACHE_WORDS = 1 << 19
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,./:;<=>?@^_`{|}~-]*)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"([{_LETTERS}]+)?([!#$%&()*+,./:;<=>?@^_`{{|}}~-]+)?")
+#: A sign between a letter and a blank is a word of its own for the tokenizer.
+_LAST_SIGN = re.compile(f"([{_LETTERS}])([,.])(?![^ \n])")
+_BLANKS = re.compile("[ \t\n\r]+")
+_END = "\n"
+#: Words that go to the tokenizer in one call.
+_LINE, _LINES = 512, 64
 
 
 class Encoder:
     """ids of words, remembered. ``path``: a tokenizers file whose words end with ``</w>``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -52,87 +60,103 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.special = tuple(a.content for a in self.whole.get_added_tokens_decoder().values())
+        # texts with the first two characters of a special token take the longer way
+        self.marks = {a.content[:2] for a in self.whole.get_added_tokens_decoder().values()}
+        self.end_id = end_id
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.flat = array("i")
-        self.start = array("q", [0])
-
-    def _bulk(self, pieces: list[str]) -> None:
-        """ids of plain pieces, each of which ends with exactly one word-end token."""
-        lines = [" ".join(pieces[i : i + 512]) for i in range(0, len(pieces), 512)]
-        ids = np.fromiter((x for e in self.lean.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids), np.int32)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(pieces):
-            raise ValueError("a piece does not end with one word-end token")
-        listed, at = ids.tolist(), 0
-        for piece, to in zip(pieces, cuts.tolist()):
-            self.pieces[piece] = listed[at:to]
-            at = to
+        self.place: dict[str, int] = {_END: 0}
+        self.flat = array("i", [self.end_id])
+        self.start = array("q", [0, 1])
+
+    def _append(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        at = len(self.start) - 1
+        self.place.update(zip(words, range(at, at + len(words))))
+        self.start.frombytes((ends + len(self.flat)).astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.int32).tobytes())
+
+    def _bulk(self, words: list[str]) -> None:
+        """Words of letters only or of signs only: each ends with exactly one word-end token."""
+        for i in range(0, len(words), _LINE * _LINES):
+            part = words[i : i + _LINE * _LINES]
+            lines = [" ".join(part[k : k + _LINE]).lower() for k in range(0, len(part), _LINE)]
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.lean.encode_batch_fast(lines, add_special_tokens=False)])
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("a word does not end with one word-end token")
+            self._append(part, ids, cuts)
 
     def learn(self, words: set[str]) -> None:
         """Remember words that are not known yet."""
-        if len(self.place) + len(words) > CACHE_WORDS or len(self.pieces) > CACHE_WORDS:
-            self.clear()
-        plain, other, fresh = {}, [], {}
+        fresh, double, other = set(), [], []
         for w in words:
             m = _PLAIN.fullmatch(w)
-            if m and not any(s in w for s in self.special):
-                parts = (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
-                plain[w] = parts
-                for p in parts:
-                    if p not in self.pieces:
-                        fresh[p] = None
-            else:
+            if m is None or not w or any(k in w for k in self.marks):
                 other.append(w)
-        if fresh:
-            self._bulk(list(fresh))
-        for w, parts in plain.items():
-            self.place[w] = len(self.start) - 1
-            for p in parts:
-                self.flat.extend(self.pieces[p])
-            self.start.append(len(self.flat))
-        for w, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False)):
-            self.place[w] = len(self.start) - 1
-            self.flat.extend(e.ids)
-            self.start.append(len(self.flat))
+            else:
+                letters, signs = m.groups()
+                if letters and signs:
+                    double.append((w, letters, signs))
+                    fresh.add(letters)
+                    fresh.add(signs)
+                else:
+                    fresh.add(w)
+        self._bulk([w for w in fresh if w not in self.place])
+        flat, start, place = self.flat, self.start, self.place
+        for w, letters, signs in double:
+            a, b = place[letters], place[signs]
+            place[w] = len(start) - 1
+            flat.extend(flat[start[a] : start[a + 1]])
+            flat.extend(flat[start[b] : start[b + 1]])
+            start.append(len(flat))
+        for i in range(0, len(other), _LINE):
+            part = other[i : i + _LINE]
+            found = [np.array(e.ids, np.int32) for e in self.whole.encode_batch_fast(part, add_special_tokens=False)]
+            self._append(part, np.concatenate(found), np.cumsum([len(f) for f in found]))
+
+    def _words(self, text: str) -> list[str]:
+        if not any(k in text for k in self.marks):
+            try:
+                if not text.isascii():
+                    text.encode("latin-1")
+                # lower-casing here is what the tokenizer does to these characters one by one
+                text = _LAST_SIGN.sub(r"\1 \2", text.lower())
+            except UnicodeEncodeError:
+                pass
+        words = _BLANKS.split(text) if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
+        words.append(_END)
+        return words
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, each with the end id, and where each text begins."""
-        words = [re.split("[ \t\n\r]+", t) if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
+        words = [self._words(t) for t in texts]
         new = set().union(*words) - self.place.keys()
         if new:
             if len(self.place) + len(new) > CACHE_WORDS:
                 self.clear()
-                new = set().union(*words)
+                new = set().union(*words) - self.place.keys()
             self.learn(new)
-        look = self.place.__getitem__
-        at = np.fromiter((i for w in words for i in map(look, w)), np.int64)
-        start = np.frombuffer(self.start, np.int64)
-        flat = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.empty(0, np.int32)
-        size = start[at + 1] - start[at]
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64)
+        first = np.frombuffer(self.start, np.int64)
+        size = first[at + 1] - first[at]
         ends = np.cumsum(size)
-        each = np.repeat(start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        ids = flat[each]
-        del start, flat
-        n_words = np.array([len(w) for w in words])
-        last = np.concatenate(([0], ends))[np.cumsum(n_words)] if len(words) else np.empty(0, np.int64)
-        ids = np.insert(ids, last, END_ID)
-        return ids, np.concatenate(([0], last + np.arange(1, len(words) + 1)))
+        each = np.repeat(first[at] - (ends - size), size)
+        each += np.arange(len(each))
+        ids = np.frombuffer(self.flat, np.int32)[each]
+        last = np.cumsum([len(w) for w in words])
+        return ids, np.concatenate(([0], ends[last - 1] if len(last) else np.empty(0, np.int64))).astype(np.int64)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, meta: list[str] | None = None, text: str = "text") -> None:
+def write(docs: DataFrame, folder: str, tokenizer: str, meta: list[str] | None = None, text: str = "text", end_id: int = END_ID) -> None:
     """Write the token files of ``docs`` to ``folder``, in ascending order of the id."""
     meta = meta or []
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select("doc_id", *meta).dtypes)
     schema = f"{kinds}, shard int, shard_start bigint, n_tokens bigint, input_ids array<int>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, before = Encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in C.steps(batches, limit=C.STEP_BYTES // 2):
+        encoder, shard, before = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        for batch in C.steps(batches, limit=C.STEP_BYTES):
             ids, at = encoder.encode(["" if t is None else t for t in batch.column("text").to_pylist()])
             size = np.diff(at)
             start = before + at[:-1]
@@ -153,7 +177,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, meta: list[str] | None =
         "parquet.enable.dictionary#input_ids.list.element": "false",
         "parquet.enable.dictionary#shard_start": "false",
     }
-    ordered.mapInArrow(encode, schema).write.options(**options).parquet(folder)
+    C.map_texts(ordered, encode, schema).write.options(**options).parquet(folder)
 
 
 def starts(stored: DataFrame) -> DataFrame:
@@ -178,7 +202,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(stored: DataFrame) -> DataFrame:
     """Per stored document: doc_id, start, n_tokens and ids_crc32, the last two from the ids that are read."""
     heads = starts(stored)
-    return heads.select("doc_id", "start", "input_ids").mapInArrow(_checksums, f"doc_id {dict(stored.dtypes)['doc_id']}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return C.map_texts(heads.select("doc_id", "start", "input_ids"), _checksums, f"doc_id {dict(stored.dtypes)['doc_id']}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def store(docs: DataFrame, tokenizer: str, meta: list[str] | None = None) -> DataFrame:

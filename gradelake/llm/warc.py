@@ -54,7 +54,7 @@ def records(pages: DataFrame, firsts: DataFrame, least: int = LEAST) -> DataFram
     row = payload.join(of, payload["digest"] == of["of_"], "left")
     revisit = F.col("of_").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     row = row.withColumn("revisit", revisit)
-    coded = F.contains("payload", F.lit(VERSION))
+    coded = F.contains(F.concat("payload", F.lit(_END)), F.lit(VERSION))
     row = row.withColumn("coded", coded & ~F.col("revisit"))
     body = F.when(F.col("revisit"), F.lit("")).when(F.col("coded"), F.base64(F.encode("payload", "UTF-8"))).otherwise(F.col("payload"))
     http = F.concat(
