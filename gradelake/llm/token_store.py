@@ -32,14 +32,12 @@ from gradelake.llm import common as C
 
 END_ID = 2
 #: Words that one task remembers; when full it starts again, so its memory is bounded.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 18
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"([{_LETTERS}]+)?([!#$%&()*+,./:;<=>?@^_`{{|}}~-]+)?")
-#: A sign between a letter and a blank is a word of its own for the tokenizer.
-_LAST_SIGN = re.compile(f"([{_LETTERS}])([,.])(?![^ \n])")
 _BLANKS = re.compile("[ \t\n\r]+")
 _END = "\n"
 #: Words that go to the tokenizer in one call.
@@ -68,12 +66,12 @@ class Encoder:
     def clear(self) -> None:
         self.place: dict[str, int] = {_END: 0}
         self.flat = array("i", [self.end_id])
-        self.start = array("q", [0, 1])
+        self.start = array("i", [0, 1])
 
     def _append(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         at = len(self.start) - 1
         self.place.update(zip(words, range(at, at + len(words))))
-        self.start.frombytes((ends + len(self.flat)).astype(np.int64).tobytes())
+        self.start.frombytes((ends + len(self.flat)).astype(np.int32).tobytes())
         self.flat.frombytes(ids.astype(np.int32).tobytes())
 
     def _bulk(self, words: list[str]) -> None:
@@ -92,10 +90,10 @@ class Encoder:
         fresh, double, other = set(), [], []
         for w in words:
             m = _PLAIN.fullmatch(w)
-            if m is None or not w or any(k in w for k in self.marks):
+            letters, signs = m.groups() if m and w else (None, None)
+            if not (letters or signs) or signs and any(k in signs for k in self.marks):
                 other.append(w)
             else:
-                letters, signs = m.groups()
                 if letters and signs:
                     double.append((w, letters, signs))
                     fresh.add(letters)
@@ -121,7 +119,7 @@ class Encoder:
                 if not text.isascii():
                     text.encode("latin-1")
                 # lower-casing here is what the tokenizer does to these characters one by one
-                text = _LAST_SIGN.sub(r"\1 \2", text.lower())
+                text = text.lower()
             except UnicodeEncodeError:
                 pass
         words = _BLANKS.split(text) if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
@@ -131,16 +129,19 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, each with the end id, and where each text begins."""
         words = [self._words(t) for t in texts]
-        new = set().union(*words) - self.place.keys()
+        every = set().union(*words)
+        new = every - self.place.keys()
         if new:
             if len(self.place) + len(new) > CACHE_WORDS:
                 self.clear()
-                new = set().union(*words) - self.place.keys()
+                new = every - self.place.keys()
             self.learn(new)
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64)
-        first = np.frombuffer(self.start, np.int64)
+        # the words of one step are few: a small table of them is quicker to look up than the large one
+        here = dict(zip(every, map(self.place.__getitem__, every)))
+        at = np.fromiter(map(here.__getitem__, chain.from_iterable(words)), np.int32)
+        first = np.frombuffer(self.start, np.int32)
         size = first[at + 1] - first[at]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int64)
         each = np.repeat(first[at] - (ends - size), size)
         each += np.arange(len(each))
         ids = np.frombuffer(self.flat, np.int32)[each]
