@@ -138,7 +138,8 @@ def disclosing(docs: DataFrame, near: DataFrame, threshold: float = DISCLOSES) -
     # two different contexts at least: the least and the largest of their hashes tell
     met = C.written(met.where(F.col("low") < F.col("high")), "met")
     counts = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    priced = counts.join(met.select("term").distinct(), "term", "left_semi")
+    # an inner join: a semi join would be moved below the sums, and every word of every document would be shuffled
+    priced = counts.join(met.select("term").distinct(), "term")
     rows = met.join(priced, "term").join(held, "entity").join(F.broadcast(n_docs))  # n_docs is one row
     information = F.log2(F.col("n_docs") / F.col("df_entity"))
     pmi = F.log2(F.col("n_docs") * F.col("df_both") / (F.col("df_entity") * F.col("df_term")))
