@@ -210,7 +210,8 @@ def value_costs(docs: DataFrame, values: DataFrame) -> DataFrame:
     counts = docs.select(letter_runs(F.col("text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     own = distinct.select("places", letter_runs(F.col("value")).alias("word")).groupBy("word").agg(F.sum("places").alias("own"))
     asked = parts.select("word").distinct()
-    known = counts.join(asked, "word", "left_semi").join(own, "word", "left").select("word", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n"))
+    # an inner join: a semi join would be moved below the sums, and every word of every document would be shuffled
+    known = counts.join(asked, "word").join(own, "word", "left").select("word", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n"))
     known = C.written(known.where(F.col("n") >= WORD_COUNT), "words")
     total = docs.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+"))).alias("total"))
     cost = F.log10(F.greatest(F.col("total") / F.col("n"), F.lit(1.0)))
