@@ -175,14 +175,14 @@ def grade_latex(df: DataFrame, predicted: str, gold: str, out: str = "correct",
 
 
 def grade_any(kind: Column, predicted: Column, gold: Column) -> Column:
-    """Verdict per row for mixed answer kinds (latex pairs are graded row by row here)."""
+    """Verdict per row for mixed answer kinds (latex pairs are graded row by row here); NULL for pairs that cannot be read."""
     from gradelake.functions.extract import grade_integer, grade_letter
 
     return (
         F.when(predicted.isNull(), F.lit(False))
         .when(kind == "integer", grade_integer(predicted, gold))
         .when(kind == "letter", grade_letter(predicted, gold))
-        .when(kind == "latex", F.coalesce(latex_equal(gold, predicted), F.lit(False)))
+        .when(kind == "latex", latex_equal(gold, predicted).cast("boolean"))
         .otherwise(F.lit(False))
     )
 

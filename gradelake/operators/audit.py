@@ -45,28 +45,31 @@ def audit_records(
     regraded: Column | None = None,
     known_modes: Sequence[str] = tuple(KNOWN_MODES),
     key: Sequence[str] = tuple(KEY),
+    kind: Column | None = None,
 ) -> DataFrame:
     """Row checks of a method run, with the baseline joined once for the cross-checks.
 
-    ``base`` holds one row per key. ``regraded`` is the recomputed verdict where one exists.
+    ``base`` holds one row per key. ``regraded`` is the recomputed verdict where one exists. ``kind`` is the answer
+    kind of a row: verdicts of ``code`` rows are set later by an external grader and are not compared.
     """
     probe = base.select(*key, F.col("completion_tokens").alias("_base_tok"), F.lit(True).alias("_seen"))
     joined = records.join(probe, list(key), "left")
     nz = lambda c: F.coalesce(F.col(c), F.lit(0))
     correct = F.coalesce("correct", F.lit(False))
+    ours = F.lit(True) if kind is None else ~kind.eqNullSafe(F.lit("code"))
     checks = {
         "tokens_not_positive": _count_if(
             (nz("completion_tokens") <= 0) & ~F.coalesce(F.col("mode") == "baseline_fallback_no_close", F.lit(False))
         ),
         "token_sum": _count_if(nz("baseline_tokens") + nz("continuation_tokens") != nz("completion_tokens")),
         "unknown_mode": _count_if(~F.coalesce(F.col("mode").isin(list(known_modes)), F.lit(False))),
-        "methodb_correct": _count_if(F.col("methodb_correct").isNotNull() & (F.col("methodb_correct") != correct)),
+        "methodb_correct": _count_if(ours & F.col("methodb_correct").isNotNull() & (F.col("methodb_correct") != correct)),
         "num_findings": _count_if(F.col("num_findings") != F.size("findings")),
         "baseline_missing": _count_if(F.col("_seen").isNull()),
         "baseline_tokens": _count_if(F.col("_seen").isNotNull() & (nz("_base_tok") != nz("baseline_tokens"))),
     }
     if regraded is not None:
-        checks["grade_mismatch"] = _count_if(regraded != correct)
+        checks["grade_mismatch"] = _count_if(ours & (regraded != correct))
     return _unpivot(joined.groupBy(*cell).agg(*[c.alias(n) for n, c in checks.items()]), cell, list(checks))
 
 

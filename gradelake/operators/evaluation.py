@@ -165,25 +165,31 @@ def repair_counters(repaired: DataFrame, cell: Sequence[str]) -> DataFrame:
 def regrade(records: DataFrame, kind: Column, grade) -> DataFrame:
     """Re-extract and re-grade stored responses; code cells are left to the external grader.
 
-    ``grade(kind, predicted, gold)`` is a Column function. Keeps ``old_*`` columns for counting.
+    ``grade(kind, predicted, gold)`` is a Column function; a pair that it cannot read (NULL) keeps its verdict and is
+    marked ``unread``. ``methodb_correct`` follows ``correct`` where it was set. Keeps ``old_*`` columns for counting.
     """
     fresh = extract_answer(kind, strip_thinking(F.col("response")))
     rows = records.where(kind.isin("integer", "letter", "latex")).withColumns(
         {"old_predicted": F.col("predicted_answer"), "old_correct": F.coalesce("correct", F.lit(False))}
     )
-    return rows.withColumn("predicted_answer", fresh).withColumn(
-        "correct", grade(kind, F.col("predicted_answer"), F.col("gt_answer"))
-    )
+    graded = rows.withColumn("predicted_answer", fresh).withColumn("_verdict", grade(kind, F.col("predicted_answer"), F.col("gt_answer")))
+    changes = {"unread": F.col("_verdict").isNull(), "correct": F.coalesce("_verdict", "old_correct")}
+    if "methodb_correct" in records.columns:
+        changes["methodb_correct"] = F.when(F.col("methodb_correct").isNotNull(), F.coalesce("_verdict", "old_correct"))
+    return graded.withColumns(changes).drop("_verdict")
 
 
 def regrade_counters(regraded: DataFrame, cell: Sequence[str]) -> DataFrame:
     moved = ~F.col("old_predicted").eqNullSafe(F.col("predicted_answer"))
+    off = F.col("methodb_correct") != F.col("correct") if "methodb_correct" in regraded.columns else F.lit(False)
     return regraded.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n"),
         _count_if(moved).alias("changed"),
         _count_if(F.col("old_correct") != F.col("correct")).alias("flipped"),
         _count_if(~F.col("old_correct") & F.col("correct")).alias("new_right"),
         _count_if(F.col("old_correct") & ~F.col("correct")).alias("new_wrong"),
+        _count_if(F.col("unread")).alias("unread"),
+        _count_if(off).alias("methodb_off"),
     )
 
 

@@ -28,8 +28,20 @@ def rename(df: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFrame:
 
 
 def take(df: DataFrame, positions: DataFrame) -> DataFrame:
-    """Rows at the listed positions, in list order and with repeats; ``positions`` has (pos, row_idx)."""
-    return positions.join(df, IDX).drop(IDX).withColumnRenamed("pos", IDX)
+    """Rows at the listed positions, in list order and with repeats; ``positions`` has (pos, row_idx).
+
+    A position that ``df`` does not have fails the job.
+    """
+    found = positions.join(df.withColumn("_seen", F.lit(True)), IDX, "left")
+    refused = F.raise_error(F.concat(F.lit("no row at position "), F.col(IDX).cast("string"))).cast("bigint")
+    at = F.when(F.col("_seen"), F.col("pos").cast("bigint")).otherwise(refused)
+    return found.withColumn("pos", at).drop(IDX, "_seen").withColumnRenamed("pos", IDX)
+
+
+def take_mask(df: DataFrame, mask: Column) -> DataFrame:
+    """Rows whose boolean mask is set, numbered anew in their order; a NULL mask fails the job."""
+    sure = F.coalesce(mask, F.raise_error(F.lit("the mask has a NULL")).cast("boolean"))
+    return with_row_index(df.where(sure), [IDX], "_new").drop(IDX).withColumnRenamed("_new", IDX)
 
 
 def slice_rows(df: DataFrame, start: int, end: int, step: int = 1) -> DataFrame:

@@ -56,7 +56,8 @@ def _majority(codes: np.ndarray, vals: np.ndarray, idx: np.ndarray) -> np.ndarra
 
 def _resample(vals: np.ndarray, votes, boots: int, seed: int) -> list[tuple[int, str, float]]:
     out = []
-    codes = None if votes is None else pd.factorize(np.asarray(votes, dtype=object))[0]
+    # a missing vote is a vote like any other
+    codes = None if votes is None else pd.factorize(np.asarray(votes, dtype=object), use_na_sentinel=False)[0]
     for n in ladder(len(vals)):
         idx = np.random.RandomState(seed).choice(len(vals), size=(boots, n), replace=True)
         drawn = vals[idx]
@@ -152,15 +153,28 @@ def bootstrap(
     return few.unionByName(many)
 
 
+def measured(samples: DataFrame, values: Sequence[str]) -> list[str]:
+    """The variables that hold numbers (or truth values)."""
+    kinds = dict(samples.dtypes)
+    return [v for v in values if kinds[v].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean"))]
+
+
 def prompt_statistics(samples: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """(keys, var, metric, value): mean@N per group and, for more than one sample, population std@N."""
+    """(keys, var, metric, value): mean@N per group and, for more than one sample, population std@N.
+
+    Variables of text are skipped, and so is a variable that a group has no value of.
+    """
+    values = measured(samples, values)
+    if not values:
+        none = [F.lit(None).cast(t).alias(n) for n, t in (("var", "string"), ("metric", "string"), ("value", "double"))]
+        return samples.select(*keys, *none).limit(0)
     agg = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("N"),
         *[f(F.col(v).cast("double")).alias(f"{v}|{s}") for v in values for f, s in ((F.avg, "mean"), (F.stddev_pop, "std"))],
     )
     long = agg.unpivot([*keys, "N"], [f"{v}|{s}" for v in values for s in ("mean", "std")], "m", "value")
     part = F.split("m", r"\|")
-    out = long.where((part[1] == "mean") | (F.col("N") > 1))
+    out = long.where("value IS NOT NULL").where((part[1] == "mean") | (F.col("N") > 1))
     return out.select(*keys, part[0].alias("var"), F.concat(part[1], F.lit("@"), F.col("N").cast("string")).alias("metric"), "value")
 
 
@@ -175,7 +189,7 @@ def validation_metrics(
 ) -> DataFrame:
     """(source, var, metric, value): every per-prompt metric averaged over the source's prompts."""
     per_prompt = prompt_statistics(samples, [source, uid], values)
-    for v in values:
+    for v in measured(samples, values):
         drawn = bootstrap(samples, [source, uid], order, v, vote, **kw)
         per_prompt = per_prompt.unionByName(drawn.select(source, uid, F.lit(v).alias("var"), "metric", "value"))
     return per_prompt.groupBy(source, "var", "metric").agg(F.avg("value").alias("value"))

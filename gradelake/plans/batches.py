@@ -358,7 +358,7 @@ def _(spark, sf):
 @query(
     "sm9_round_cases",
     """WITH r AS (SELECT o_custkey AS sample, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, o_orderkey FROM orders),
-      b AS (SELECT l_orderkey AS sample, l_partkey AS round, CASE WHEN l_quantity > 46 THEN 'stop' WHEN l_quantity < 2 THEN NULL ELSE 'length' END AS finish, l_linestatus = 'O' AND l_returnflag = 'R' AS closes FROM lineitem WHERE l_partkey <= 150),
+      b AS (SELECT l_orderkey AS sample, l_linenumber AS round, CASE WHEN l_quantity > 46 THEN 'stop' WHEN l_quantity < 2 THEN NULL ELSE 'length' END AS finish, l_linestatus = 'O' AND l_returnflag = 'R' AS closes FROM lineitem),
       m AS (SELECT sample, min(round) FILTER (WHERE coalesce(finish, '') <> 'length') AS e, min(round) FILTER (WHERE closes) AS c FROM b GROUP BY 1)
      SELECT CASE WHEN finish = 'stop' THEN '1' WHEN finish IS NULL THEN '0' WHEN c = round THEN '2' WHEN c < round THEN '2c' ELSE '3' END AS "case", count(*) AS n FROM b JOIN m USING (sample) WHERE e IS NULL OR round <= e GROUP BY 1""",
 )
@@ -366,11 +366,11 @@ def _(spark, sf):
     q = F.col("l_quantity")
     rounds = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("sample"),
-        F.col("l_partkey").alias("round"),
+        F.col("l_linenumber").alias("round"),
         F.when(q > 46, "stop").when(q < 2, F.lit(None)).otherwise("length").alias("finish"),
         ((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R")).alias("closes"),
     )
-    return S.round_cases(rounds, cap=150).groupBy("case").agg(F.count(F.lit(1)).alias("n"))
+    return S.round_cases(rounds).groupBy("case").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

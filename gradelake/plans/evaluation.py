@@ -468,11 +468,11 @@ def _(spark, sf):
      {'check': 'tokens_not_positive', 'bad': completion_tokens <= 0 AND mode <> 'baseline_fallback_no_close'},
      {'check': 'token_sum', 'bad': baseline_tokens + continuation_tokens <> completion_tokens},
      {'check': 'unknown_mode', 'bad': mode = 'other_mode'},
-     {'check': 'methodb_correct', 'bad': coalesce(methodb_correct <> correct, false)},
+     {'check': 'methodb_correct', 'bad': dataset <> 'livecodebench' AND coalesce(methodb_correct <> correct, false)},
      {'check': 'num_findings', 'bad': num_findings <> listed_findings},
      {'check': 'baseline_missing', 'bad': bs IS NULL},
      {'check': 'baseline_tokens', 'bad': coalesce(bt <> baseline_tokens, false)},
-     {'check': 'grade_mismatch', 'bad': (predicted_answer IS NOT NULL AND predicted_answer = CAST(problem_id % 7 AS VARCHAR)) <> correct}]) AS u FROM j)
+     {'check': 'grade_mismatch', 'bad': dataset <> 'livecodebench' AND (predicted_answer IS NOT NULL AND predicted_answer = CAST(problem_id % 7 AS VARCHAR)) <> correct}]) AS u FROM j)
   GROUP BY ALL""",
 )
 def _(spark, sf):
@@ -480,7 +480,8 @@ def _(spark, sf):
 
     base = baseline_runs(spark, sf).where("sample_idx % 10 <> 3")
     verdict = grade_integer(F.col("predicted_answer"), (F.col("problem_id") % 7).cast("string"))
-    return audit.audit_records(method_runs(spark, sf), base, CELL, verdict)
+    kind = F.when(F.col("dataset") == "livecodebench", "code").otherwise("integer")
+    return audit.audit_records(method_runs(spark, sf), base, CELL, verdict, kind=kind)
 
 
 LINES_SQL = """

@@ -43,6 +43,18 @@ def _(spark, sf):
     return _r(V.prompt_statistics(_samples(spark, sf), ["source", "uid"], ["acc", "reward"]), "value")
 
 
+@query(
+    "ag19_text_and_empty_variables",
+    VAL_SQL + """, h AS (SELECT source, uid, count(*) AS n, avg(v) AS m, stddev_pop(v) AS sd FROM (SELECT *, CASE WHEN uid IN ('en', 'de') THEN reward / 2 END AS v FROM s) GROUP BY ALL)
+  SELECT source, uid, var, metric, round(value, 6) AS value FROM ps WHERE var = 'acc'
+  UNION ALL SELECT source, uid, 'half', 'mean@' || n, round(m, 6) FROM h WHERE m IS NOT NULL UNION ALL SELECT source, uid, 'half', 'std@' || n, round(sd, 6) FROM h WHERE n > 1 AND sd IS NOT NULL""",
+)
+def _(spark, sf):
+    # pred is text and none has no value at all: both are skipped; half has none in some groups
+    s = _samples(spark, sf).withColumns({"none": F.lit(None).cast("double"), "half": F.when(F.col("uid").isin("en", "de"), F.col("reward") / 2)})
+    return _r(V.prompt_statistics(s, ["source", "uid"], ["acc", "pred", "none", "half"]), "value")
+
+
 @query("ag14_validation_means", VAL_SQL + "SELECT source, var, metric, round(avg(value), 6) AS value FROM ps GROUP BY ALL")
 def _(spark, sf):
     per = V.prompt_statistics(_samples(spark, sf), ["source", "uid"], ["acc", "reward"])

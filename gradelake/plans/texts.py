@@ -515,15 +515,17 @@ def _(spark, sf):
 
 @query(
     "st4_multiset_overlap",
-    """WITH d AS (SELECT doc_id, string_split(text, ' ')[1:40] AS a, string_split(reverse(text), ' ')[1:30] AS b FROM (SELECT doc_id, text FROM documents)),
+    """WITH d AS (SELECT doc_id, string_split(text, ' ') AS a, string_split(reverse(text), ' ')[3:] AS b FROM (SELECT doc_id, text FROM documents)),
      a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(a, lambda x: length(x))) AS w FROM d) GROUP BY ALL),
      b AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(b, lambda x: length(x))) AS w FROM d) GROUP BY ALL),
      s AS (SELECT a.doc_id, sum(least(a.n, b.n)) AS k FROM a JOIN b USING (doc_id, w) GROUP BY 1)
      SELECT doc_id, round(CASE WHEN list_transform(a, lambda x: length(x)) = list_transform(b, lambda x: length(x)) THEN 1 ELSE coalesce(k, 0) / (len(a) + len(b) - coalesce(k, 0)) END, 6)::DOUBLE AS overlap FROM d LEFT JOIN s USING (doc_id)""",
 )
 def _(spark, sf):
-    lens = lambda a, n: F.transform(F.slice(F.split(a, " "), 1, n), lambda x: F.length(x))
-    d = table(spark, sf, "documents").select("doc_id", lens(F.col("text"), 40).alias("a"), lens(F.reverse("text"), 30).alias("b"))
+    # all words of the text against all but two of its reverse
+    lens = lambda a: F.transform(a, lambda x: F.length(x))
+    words, back = F.split("text", " "), F.split(F.reverse("text"), " ")
+    d = table(spark, sf, "documents").select("doc_id", lens(words).alias("a"), lens(F.slice(back, 3, F.greatest(F.size(back), F.lit(1)))).alias("b"))
     return d.select("doc_id", F.round(R.multiset_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
@@ -650,11 +652,13 @@ def _(spark, sf):
     RESP + POST_SQL + GRADE_SQL
     + """, o AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN predicted WHEN doc_id % 4 = 1 THEN '0' END AS oldp, doc_id % 5 < 2 AS oldc, coalesce(CAST(predicted AS HUGEINT) = n_chars, false) AS newc FROM graded)
    SELECT source, count(*) AS n, count(*) FILTER (WHERE oldp IS DISTINCT FROM predicted) AS changed, count(*) FILTER (WHERE oldc <> newc) AS flipped,
-     count(*) FILTER (WHERE NOT oldc AND newc) AS new_right, count(*) FILTER (WHERE oldc AND NOT newc) AS new_wrong FROM o GROUP BY source""",
+     count(*) FILTER (WHERE NOT oldc AND newc) AS new_right, count(*) FILTER (WHERE oldc AND NOT newc) AS new_wrong,
+     0::BIGINT AS unread, 0::BIGINT AS methodb_off FROM o GROUP BY source""",
 )
 def _(spark, sf):
     stored = F.when(F.col("doc_id") % 4 == 0, X.extract_integer(TH.strip_thinking(F.col("response")))).when(F.col("doc_id") % 4 == 1, "0")
     rows = responses(spark, sf).select(
-        "source", "response", stored.alias("predicted_answer"), (F.col("doc_id") % 5 < 2).alias("correct"), F.col("n_chars").cast("string").alias("gt_answer")
+        "source", "response", stored.alias("predicted_answer"), (F.col("doc_id") % 5 < 2).alias("correct"), F.col("n_chars").cast("string").alias("gt_answer"),
+        F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 5 < 2).alias("methodb_correct"),
     )
     return ev.regrade_counters(ev.regrade(rows, F.lit("integer"), LX.grade_any), ["source"])

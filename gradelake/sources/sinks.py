@@ -35,7 +35,8 @@ def rewrite(df: DataFrame, path: str, fmt: str = "json") -> None:
     fresh, _ = _fs(spark, beside)
     if fs.exists(target):
         fs.delete(kept, True)
-        fs.rename(target, kept)
+        if not fs.rename(target, kept):
+            raise OSError(f"could not put {path} aside; the new version is in {beside}")
     if not fs.rename(fresh, target):
         fs.rename(kept, target)
         raise OSError(f"could not replace {path}")
