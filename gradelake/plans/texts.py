@@ -13,7 +13,7 @@ from gradelake.functions import think as TH
 from gradelake.functions import toolcalls as TC
 from gradelake.operators import evaluation as ev
 from gradelake.plans.derived import RESPONSES_SQL, responses, with_
-from gradelake.plans.registry import query, spread, table
+from gradelake.plans.registry import query, table
 
 RESP = with_(RESPONSES_SQL)
 STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -134,7 +134,7 @@ def _(spark, sf):
         .when(k == 6, F.concat(F.lit("open \\boxed{a^{"), c, F.lit("} only")))
         .otherwise(F.concat(F.lit("mid $\\pi$ then "), c, F.lit(" words here.")))
     )
-    return spread(table(spark, sf, "orders")).select("o_orderkey", X.extract_boxed(text).alias("predicted"))
+    return table(spark, sf, "orders").select("o_orderkey", X.extract_boxed(text).alias("predicted"))
 
 
 GRADE_SQL = f""", graded AS (SELECT *, coalesce({', '.join(_last(p) for p in INT_SQL)}) AS predicted FROM post)
@@ -170,7 +170,7 @@ def _(spark, sf):
     for i, (g, p) in enumerate(cases):
         gold = F.when(k == i, g) if gold is None else gold.when(k == i, g)
         pred = F.when(k == i, p) if pred is None else pred.when(k == i, p)
-    rows = spread(table(spark, sf, "orders")).select("o_orderkey", gold.alias("gold"), pred.alias("pred"))
+    rows = table(spark, sf, "orders").select("o_orderkey", gold.alias("gold"), pred.alias("pred"))
     return LX.grade_latex(rows, "pred", "gold").select("o_orderkey", "correct")
 
 
@@ -179,7 +179,7 @@ def _(spark, sf):
     "SELECT o_orderkey, least(11, 2 + greatest(0, floor((CAST(floor(o_totalprice / 5) AS BIGINT) - 1) / 5000)))::BIGINT AS cap FROM orders",
 )
 def _(spark, sf):
-    return spread(table(spark, sf, "orders")).select("o_orderkey", X.adaptive_cap(F.floor(F.col("o_totalprice") / 5)).alias("cap"))
+    return table(spark, sf, "orders").select("o_orderkey", X.adaptive_cap(F.floor(F.col("o_totalprice") / 5)).alias("cap"))
 
 
 LINES_SQL = r""", ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE length(text) > 0),
@@ -229,8 +229,8 @@ def _(spark, sf):
 def _pair_text(spark, sf):
     t, k = F.col("text"), F.col("doc_id") % 4
     clean = lambda s: F.regexp_replace(F.regexp_replace(s, r'["“”\n]', "x"), r"\s", "_")
-    a1 = F.concat(F.lit("k"), clean(F.substr(t, F.lit(30), F.lit(60))))
-    a2 = F.concat(F.lit("m"), clean(F.substr(t, F.lit(1), F.lit(50))))
+    a1 = F.concat(F.lit("k"), clean(F.substr(t, F.lit(30))))
+    a2 = F.concat(F.lit("m"), clean(t))
     raw = F.concat(
         F.lit('ANCHOR 2: "'), a1, F.lit('"\nFINDING 2: first '), a1, F.lit("\n\nANCHOR 10: “"), a2, F.lit("”\nFINDING 10: second "), a2,
         F.lit('"\nanchor 1: "dropped"\n'),
@@ -241,32 +241,39 @@ def _pair_text(spark, sf):
 
 @query(
     "tx14_anchor_pairs",
-    r"""WITH p AS (SELECT doc_id, 'k' || regexp_replace(regexp_replace(substr(text, 30, 60), '["“”\n]', 'x', 'g'), '\s', '_', 'g') AS a1,
-       'm' || regexp_replace(regexp_replace(substr(text, 1, 50), '["“”\n]', 'x', 'g'), '\s', '_', 'g') AS a2 FROM documents)
-     SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 2 END::BIGINT AS pairs,
-       CASE WHEN doc_id % 4 = 0 THEN '' ELSE a1 || '>first ' || a1 || '|' || a2 || '>second ' || a2 END AS joined FROM p""",
+    r"""WITH p AS (SELECT doc_id, 'k' || regexp_replace(regexp_replace(substr(text, 30), '["“”\n]', 'x', 'g'), '\s', '_', 'g') AS a1,
+       'm' || regexp_replace(regexp_replace(text, '["“”\n]', 'x', 'g'), '\s', '_', 'g') AS a2 FROM documents)
+     , j AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 2 END::BIGINT AS pairs,
+       CASE WHEN doc_id % 4 = 0 THEN '' ELSE a1 || '>first ' || a1 || '|' || a2 || '>second ' || a2 END AS joined FROM p)
+     SELECT doc_id, pairs, md5(joined) AS digest FROM j""",
 )
 def _(spark, sf):
     d = _pair_text(spark, sf).select("doc_id", FD.anchor_pairs(F.col("raw")).alias("p"))
     joined = F.array_join(F.transform("p", lambda x: F.concat(x["anchor"], F.lit(">"), x["finding"])), "|")
-    return d.select("doc_id", F.size("p").cast("long").alias("pairs"), joined.alias("joined"))
+    return d.select("doc_id", F.size("p").cast("long").alias("pairs"), F.md5(joined).alias("digest"))
 
 
 @query(
     "tx15_ag6_anchor_match_rates",
-    r"""WITH d AS (SELECT text, CASE doc_id % 3 WHEN 0 THEN left(text, 90) WHEN 1 THEN left(text, 60) || '§ changed' ELSE '§ nowhere ' || left(text, 60) END AS raw FROM documents),
-     a AS (SELECT text, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS a FROM d), p AS (SELECT *, regexp_replace(left(a, 40), '^\s+|\s+$', '', 'g') AS p FROM a)
-     SELECT CASE WHEN length(a) >= 10 AND contains(text, a) THEN 'verbatim' WHEN length(a) >= 10 AND length(p) >= 12 AND contains(text, p) THEN 'fuzzy' ELSE 'none' END AS matched, count(*) AS n FROM p GROUP BY 1""",
+    r"""WITH h AS (SELECT *, substr(text, length(text) // 2 + 1) AS half FROM documents),
+     d AS (SELECT text, CASE doc_id % 3 WHEN 0 THEN left(half, 90) WHEN 1 THEN left(half, 60) || '§ changed' ELSE '§ nowhere ' || left(half, 60) END AS raw FROM h),
+     a AS (SELECT text, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS a FROM d), p AS (SELECT *, regexp_replace(left(a, 40), '^\s+|\s+$', '', 'g') AS p FROM a),
+     m AS (SELECT *, CASE WHEN length(a) >= 10 AND contains(text, a) THEN 'verbatim' WHEN length(a) >= 10 AND length(p) >= 12 AND contains(text, p) THEN 'fuzzy' ELSE 'none' END AS matched FROM p),
+     e AS (SELECT *, CASE matched WHEN 'verbatim' THEN length(text) - instr(reverse(text), reverse(a)) + 1 WHEN 'fuzzy' THEN length(text) - instr(reverse(text), reverse(p)) + 1 ELSE -1 END AS stop FROM m)
+     SELECT matched, count(*) AS n, sum(stop + CASE WHEN matched = 'fuzzy' THEN length(regexp_extract(substr(text, stop + 1, 300), '(?s)^(.*?[.!?。！？][''"”)]?\s)', 1)) ELSE 0 END)::BIGINT AS ends FROM e GROUP BY matched""",
 )
 def _(spark, sf):
+    # anchors from the middle of each text, so that where they end matters
     t, k = F.col("text"), F.col("doc_id") % 3
+    half = F.substr(t, F.expr("length(text) div 2 + 1").cast("int"))
     anchor = (
-        F.when(k == 0, F.left(t, F.lit(90)))
-        .when(k == 1, F.concat(F.left(t, F.lit(60)), F.lit("§ changed")))
-        .otherwise(F.concat(F.lit("§ nowhere "), F.left(t, F.lit(60))))
+        F.when(k == 0, F.left(half, F.lit(90)))
+        .when(k == 1, F.concat(F.left(half, F.lit(60)), F.lit("§ changed")))
+        .otherwise(F.concat(F.lit("§ nowhere "), F.left(half, F.lit(60))))
     )
     d = table(spark, sf, "documents")
-    return d.groupBy(FD.anchor_match(t, F.array(anchor)).alias("matched")).agg(F.count(F.lit(1)).alias("n"))
+    found = d.select(FD.anchor_match(t, F.array(anchor)).alias("matched"), FD.last_anchor_end(t, F.array(anchor)).alias("stop"))
+    return found.groupBy("matched").agg(F.count(F.lit(1)).alias("n"), F.sum("stop").cast("bigint").alias("ends"))
 
 
 @query(
@@ -376,7 +383,7 @@ def _(spark, sf):
     n, k = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 4
     got = F.when(k == 0, F.concat(F.lit("[1, "), n, F.lit("]"))).when(k == 1, F.concat(n, F.lit(".0"))).otherwise(F.concat(F.lit("text "), n))
     want = F.when(k == 0, F.concat(F.lit("[ 1,"), n, F.lit(" ]"))).when(k == 1, n).when(k == 2, F.concat(F.lit("text "), n)).otherwise(n)
-    return spread(table(spark, sf, "orders")).select("o_orderkey", TC.literal_equal(got, want).alias("same"))
+    return table(spark, sf, "orders").select("o_orderkey", TC.literal_equal(got, want).alias("same"))
 
 
 @query(
@@ -417,7 +424,7 @@ def _(spark, sf):
     for i, (t, g) in enumerate(cases):
         text = F.when(k == i, t) if text is None else text.when(k == i, t)
         gold = F.when(k == i, g) if gold is None else gold.when(k == i, g)
-    return spread(table(spark, sf, "orders")).select("o_orderkey", R.score_boxed_math(text, gold).alias("score"))
+    return table(spark, sf, "orders").select("o_orderkey", R.score_boxed_math(text, gold).alias("score"))
 
 
 @query(
@@ -436,7 +443,7 @@ def _(spark, sf):
         .otherwise(w("nothing said ", ""))
     )
     gold = F.when(k == 0, w("1")).when(k == 1, w("frac{1}{", "}")).when(k == 2, c).when(k == 3, w("(", ",2)")).otherwise(c)
-    rows = spread(table(spark, sf, "orders")).select("o_orderkey", said.alias("t"), gold.alias("g"))
+    rows = table(spark, sf, "orders").select("o_orderkey", said.alias("t"), gold.alias("g"))
     return R.score_rows(rows, "stated", "t", "g").select("o_orderkey", "score", "acc", "pred")
 
 
@@ -460,7 +467,7 @@ def _(spark, sf):
     tail = F.when(k == 0, F.concat(F.lit("\\frac{"), c, F.lit("}{4} + 1"))).when(k == 1, F.concat(F.lit("-7 - "), c)).otherwise("x @ y")
     text = F.concat(F.lit("so \\boxed{"), tail, F.lit("}"))
     gold = F.concat(F.lit("1+"), (F.col("o_custkey") / 4).cast("string"))
-    rows = spread(table(spark, sf, "orders"))
+    rows = table(spark, sf, "orders")
     return rows.select("o_orderkey", LX.score_latex(text, gold, unread=0.5).alias("score"))
 
 
@@ -482,7 +489,7 @@ def _(spark, sf):
         .otherwise(F.lit("no digits at all"))
     )
     gold = F.when(k == 3, F.concat(F.lit("1"), c)).when(k == 4, (n / 100).cast("string")).otherwise(c)
-    return spread(table(spark, sf, "orders")).select("o_orderkey", R.score_marked_answer(text, gold).alias("score"))
+    return table(spark, sf, "orders").select("o_orderkey", R.score_marked_answer(text, gold).alias("score"))
 
 
 @query(
@@ -582,7 +589,7 @@ def _(spark, sf):
         .when(k == 3, w("Answer: not "))
         .otherwise(w("<answer>", "</answer>"))
     )
-    return spread(table(spark, sf, "orders")).select("o_orderkey", R.score_by_source(src, text, c).alias("score"), R.scorer_of(src).alias("scorer"))
+    return table(spark, sf, "orders").select("o_orderkey", R.score_by_source(src, text, c).alias("score"), R.scorer_of(src).alias("scorer"))
 
 
 @query(
