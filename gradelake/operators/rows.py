@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.operators.groups import with_row_index
@@ -194,14 +194,17 @@ def head(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.col(IDX) < n)
 
 
-def seeded_sample(df: DataFrame, n: int, seed: int, key: Sequence[str] = (IDX,)) -> DataFrame:
-    """``n`` rows without replacement in a seeded pseudo-random order (``order`` 0..n-1).
+def seeded_sample(df: DataFrame, n: int, seed: int, key: Sequence[str] = (IDX,), where: Column | None = None) -> DataFrame:
+    """``n`` rows without replacement in a seeded pseudo-random order (``order`` 0..n-1), of those that ``where`` admits.
 
-    The order is that of a seeded hash of the key, ranked without a single-task sort. It is a uniform
-    draw, but not numpy's sequence, which would need the whole permutation on the driver.
+    The order is that of the md5 of seed and key, so that any engine draws the same rows; each task keeps n rows at most.
+    It is a uniform draw, but not numpy's sequence, which would need the whole permutation on the driver.
     """
-    ranked = with_row_index(df.withColumn("_h", F.xxhash64(F.lit(seed), *key)), ["_h", *key], "order")
-    return ranked.where(F.col("order") < n).drop("_h")
+    admitted = df if where is None else df.where(where)
+    drawn = admitted.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])))
+    first = drawn.orderBy("_h", *key).limit(n)
+    # the n rows that were asked for
+    return first.withColumn("order", F.row_number().over(Window.orderBy("_h", *key)).cast("bigint") - 1).drop("_h")
 
 
 def concat_rows(parts: Sequence[DataFrame]) -> DataFrame:

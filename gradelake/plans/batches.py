@@ -146,9 +146,13 @@ def _(spark, sf):
     return R.head(_rows(spark, sf), 1000).select("row_idx")
 
 
-@query("pr17_so5_so6_seeded_sample")
+@query(
+    "pr17_so5_so6_seeded_sample",
+    """SELECT row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) - 1 AS "order", o_orderkey AS row_idx FROM orders WHERE o_orderkey % 3 <> 1
+       QUALIFY row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) <= 1000""",
+)
 def _(spark, sf):
-    return R.seeded_sample(_rows(spark, sf), 1000, 42).select("order", "row_idx")
+    return R.seeded_sample(_rows(spark, sf), 1000, 42, where=F.col("row_idx") % 3 != 1).select("order", "row_idx")
 
 
 @query("pr18_split_even", f"SELECT o_orderkey AS row_idx, o_orderkey // ({N} // 7) AS part FROM orders WHERE o_orderkey < 7 * ({N} // 7)")
