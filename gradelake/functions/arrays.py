@@ -102,10 +102,6 @@ def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     return run(rewards, mask)
 
 
-def zip2(a: Column, b: Column, fn) -> Column:
-    return F.zip_with(a, b, fn)
-
-
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 

@@ -32,8 +32,9 @@ def after_last(text: Column, needle: str) -> Column:
     return F.substring_index(text, needle, -1)
 
 
-def first_of(*cases: Column) -> Column:
-    return F.coalesce(*cases)
+def whole_div(a: Column | str, b: Column | int) -> Column:
+    """Integer division of whole numbers, exact over the full 64 bits (``floor(a / b)`` goes through doubles)."""
+    return F.call_function("div", F.col(a) if isinstance(a, str) else a, b if isinstance(b, Column) else F.lit(b))
 
 
 def let(value: Column, fn) -> Column:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.functions.text import whole_div
+
 
 def workload(length: Column) -> Column:
     """24576 * L + L^2: relative cost of a sequence."""
@@ -168,14 +170,10 @@ def rank_order(df: DataFrame, batch: str, index: str, length: str, ranks: int, m
     return out.join(sizes, batch).withColumn("new_idx", F.col("part") * F.col("_share") + F.col("slot")).drop("_share")
 
 
-def restore_order(df: DataFrame, index: str) -> DataFrame:
-    return df.orderBy(index)
-
-
 def imbalance(parts: DataFrame, batch: str, index: str, length: str, k: int) -> DataFrame:
     """Token sums per contiguous block against the balanced partitions, per batch."""
     totals = parts.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"), F.min(index).alias("_i0"), F.sum(length).alias("_sum"))
-    rows = parts.join(totals, batch).withColumn("_block", F.floor((F.col(index) - F.col("_i0")) / F.floor(F.col("_n") / k)))
+    rows = parts.join(totals, batch).withColumn("_block", whole_div(F.col(index) - F.col("_i0"), whole_div("_n", k)))
     naive = rows.groupBy(batch, "_block").agg(F.sum(length).alias("s")).groupBy(batch).agg(F.min("s").alias("min"), F.max("s").alias("max"))
     even = parts.groupBy(batch, "part").agg(F.sum(length).alias("s")).groupBy(batch).agg(
         F.min("s").alias("balanced_min"), F.max("s").alias("balanced_max")

@@ -300,5 +300,3 @@ def duplicate_keys(records: DataFrame, key: Sequence[str]) -> DataFrame:
     return records.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def latest_records(records: DataFrame, key: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    return last_wins(records, key, order_by)

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradelake.functions.text import whole_div
 from gradelake.session import checkpoint
 
 # A key with more rows than this is spread over ceil(rows / HOT_ROWS) salts. At most
@@ -155,7 +156,7 @@ BLOCK = 1 << 20
 
 def cumulative(df: DataFrame, index: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
     """Inclusive running sum over a dense index: inside fixed-size blocks, plus the sum of the blocks before."""
-    b = df.withColumn("_b", F.floor(F.col(index) / block))
+    b = df.withColumn("_b", whole_div(index, block))
     sums = b.groupBy("_b").agg(F.sum(value).alias("_s"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # one row per block of the index: rows / block, the only single-task step

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradelake.functions.text import whole_div
 from gradelake.operators.groups import with_row_index
 
 IDX = "row_idx"
@@ -83,7 +84,7 @@ def unfold_array(df: DataFrame, column: str, parts: int) -> DataFrame:
 
 def fold(df: DataFrame, size: int, columns: Sequence[str]) -> DataFrame:
     """``size`` consecutive rows become one, each column an ordered array (groups are bounded by ``size``)."""
-    packed = df.groupBy(F.floor(F.col(IDX) / size).alias("_g")).agg(
+    packed = df.groupBy(whole_div(IDX, size).alias("_g")).agg(
         F.array_sort(F.collect_list(F.struct(IDX, *columns))).alias("_s")
     )
     return packed.select(F.col("_g").alias(IDX), *[F.col(f"_s.{c}").alias(c) for c in columns])
@@ -98,7 +99,7 @@ def chunk(df: DataFrame, parts: int, name: str = "chunk", padded: bool = False)
     """Equal contiguous parts; the row count must divide unless ``padded``."""
     size = F.ceil(F.col("_total") / parts)
     bad = F.raise_error(F.lit(f"rows do not divide into {parts} parts")).cast("long")
-    part = F.floor(F.col(IDX) / size)
+    part = whole_div(IDX, size)
     if not padded:
         part = F.when(F.col("_total") % parts != 0, bad).otherwise(part)
     return _with_total(df).withColumn(name, part).drop("_total")
@@ -106,21 +107,21 @@ def chunk(df: DataFrame, parts: int, name: str = "chunk", padded: bool = False)
 
 def split_by_size(df: DataFrame, size: int, name: str = "part") -> DataFrame:
     """Contiguous parts of ``size`` rows; the last may be shorter."""
-    return df.withColumn(name, F.floor(F.col(IDX) / size))
+    return df.withColumn(name, whole_div(IDX, size))
 
 
 def split_even(df: DataFrame, parts: int, name: str = "part") -> DataFrame:
     """Contiguous equal parts; the remainder is dropped."""
-    size = F.floor(F.col("_total") / parts)
+    size = whole_div("_total", parts)
     rows = _with_total(df)
-    return rows.where(F.col(IDX) < size * parts).withColumn(name, F.floor(F.col(IDX) / size)).drop("_total")
+    return rows.where(F.col(IDX) < size * parts).withColumn(name, whole_div(IDX, size)).drop("_total")
 
 
 def batches(df: DataFrame, size: int, drop_last: bool = True, name: str = "batch") -> DataFrame:
     rows = split_by_size(df, size, name)
     if not drop_last:
         return rows
-    full = F.floor(F.col("_total") / size)
+    full = whole_div("_total", size)
     return _with_total(rows).where(F.col(name) < full).drop("_total")
 
 
@@ -134,7 +135,7 @@ def mini_batches(df: DataFrame, size: int, epochs: int = 1, seed: int | None = N
     else:
         rows = _total_of(rows, df).withColumn("_pos", F.col(IDX))
     bad = F.raise_error(F.lit(f"rows do not divide into batches of {size}")).cast("long")
-    batch = F.when(F.col("_total") % size != 0, bad).otherwise(F.floor(F.col("_pos") / size))
+    batch = F.when(F.col("_total") % size != 0, bad).otherwise(whole_div("_pos", size))
     return rows.withColumn("batch", batch).drop("_pos", "_total")
 
 

@@ -1,49 +1,9 @@
-"""Structured Streaming forms: bounded sample queue, last-write-wins buffer, stale counter."""
+"""Structured Streaming forms: last-write-wins buffer, stale counter."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-QUEUE_OUT = "queue string, produced long, consumed long, dropped long, size long, sample string, event string"
-QUEUE_STATE = "items array<string>, produced long, consumed long, dropped long"
-
-
-def stream_queue(ops: DataFrame, capacity: int) -> DataFrame:
-    """Drop-oldest queue per ``queue`` over a stream of (queue, seq, is_put, sample).
-
-    State is the queue itself (at most ``capacity`` samples) and three counters. A micro-batch is applied
-    in ``seq`` order per Arrow chunk, so the source must deliver each queue's operations in order.
-    """
-
-    def run(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, produced, consumed, dropped = state.get if state.exists else ([], 0, 0, 0)
-        items = list(items)
-        for chunk in chunks:
-            out = []
-            for put, sample in chunk.sort_values("seq")[["is_put", "sample"]].itertuples(index=False):
-                if put:
-                    if len(items) >= capacity:
-                        out.append((items.pop(0), "dropped"))
-                        dropped += 1
-                    items.append(sample)
-                    produced += 1
-                elif items:
-                    out.append((items.pop(0), "consumed"))
-                    consumed += 1
-            yield pd.DataFrame(
-                {
-                    "queue": key[0], "produced": produced, "consumed": consumed, "dropped": dropped, "size": len(items),
-                    "sample": [s for s, _ in out], "event": [e for _, e in out],
-                }
-            )
-        state.update((items, produced, consumed, dropped))
-
-    return ops.groupBy("queue").applyInPandasWithState(run, QUEUE_OUT, QUEUE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_latest_tags(updates: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.functions.text import whole_div
 from gradelake.operators.groups import BLOCK, cumulative, join_skewed
 
 
@@ -30,7 +31,7 @@ def replay_queue(ops: DataFrame, capacity: int, block: int = BLOCK) -> DataFrame
     clamped walk; a whole block maps any starting size x to min(max(x + a, lo), hi), and those maps are
     chained once, one row per block. Samples leave in arrival order, so removal r takes put r.
     """
-    b = ops.withColumn("_b", F.floor(F.col("seq") / block))
+    b = ops.withColumn("_b", whole_div("seq", block))
 
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
         a, lo, hi = 0, 0, capacity
@@ -99,7 +100,7 @@ def staleness_gate(log: DataFrame, required: int, threshold: float, sync_steps:
 def assemble_batches(samples: DataFrame, per_batch: int, time: str, start: str, end: str) -> DataFrame:
     """Every ``per_batch`` consecutive samples are one batch with its time and version figures."""
     span = F.abs(F.col(end) - F.col(start))
-    return samples.groupBy(F.floor(F.col("seq") / per_batch).alias("batch")).agg(
+    return samples.groupBy(whole_div("seq", per_batch).alias("batch")).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(time).alias("time_avg"),
         F.max(time).alias("time_max"),

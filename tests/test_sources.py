@@ -183,3 +183,77 @@ def test_empty_comparison_gives_null_shares(spark):
 def test_unknown_ablation_is_refused():
     with pytest.raises(ValueError):
         ev.classify_mode(*[F.lit(1)] * 7, max_model_len=10, ablation="other")
+
+
+def test_take_refuses_unknown_positions_and_masks_select(spark):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "row_idx bigint, v string")
+    at = lambda *rows: spark.createDataFrame(list(enumerate(rows)), "pos bigint, row_idx bigint")
+    assert [r.v for r in R.take(df, at(4, 0, 4)).orderBy("row_idx").collect()] == ["v4", "v0", "v4"]
+    for bad in (-1, 5):
+        with pytest.raises(Exception, match="no row at position"):
+            R.take(df, at(0, bad)).collect()
+    assert [(r.row_idx, r.v) for r in R.take_mask(df, F.col("v").isin("v1", "v3")).orderBy("row_idx").collect()] == [(0, "v1"), (1, "v3")]
+    with pytest.raises(Exception, match="NULL"):
+        R.take_mask(df, F.when(F.col("v") == "v1", True)).collect()
+
+
+def test_large_positions_are_divided_exactly(spark):
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(big, "a")], "row_idx bigint, v string")
+    assert R.batches(df.where("row_idx < 0"), 3).count() == 0
+    from gradelake.functions.text import whole_div
+
+    assert df.select(whole_div("row_idx", 1)).first()[0] == big
+
+
+def test_rewrite_says_when_the_old_version_cannot_be_put_aside(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1,)], "a int")
+    df.write.json(path)
+    real = sk._fs
+
+    class Stuck:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return (lambda *a: False) if name == "rename" else getattr(self.fs, name)
+
+    def stuck(spark, p):
+        at, fs = real(spark, p)
+        return at, Stuck(fs)
+
+    monkeypatch.setattr(sk, "_fs", stuck)
+    with pytest.raises(OSError, match="aside"):
+        sk.rewrite(df.withColumn("a", F.lit(2)), path)
+    assert [r.a for r in spark.read.json(path).collect()] == [1]
+
+
+def test_code_verdicts_of_external_graders_are_no_issue(spark):
+    ddl = "problem_id string, sample_idx int, correct boolean, methodb_correct boolean, completion_tokens int, baseline_tokens int, continuation_tokens int, mode string, num_findings int, findings array<string>, kind string, cell string"
+    rows = [("p", i, True, False, 5, 5, 0, "methodb", 0, [], k, "c") for i, k in enumerate(["code", "integer", None])]
+    records = spark.createDataFrame(rows, ddl)
+    issues = audit.audit_records(records, records.select("problem_id", "sample_idx", "completion_tokens"), ["cell"], F.lit(False), kind=F.col("kind"))
+    found = {r["check"]: r.n_bad for r in issues.collect()}
+    assert found["methodb_correct"] == found["grade_mismatch"] == 2
+
+
+def test_regrade_keeps_what_it_cannot_read_and_sets_both_verdicts(spark):
+    rows = [("<answer>4</answer>", "4", None, False, False), ("<answer>5</answer>", "4", "4", True, True), ("\\boxed{x@y}", "\\frac{1}{2}", "q", True, None)]
+    df = spark.createDataFrame(rows, "response string, gt_answer string, predicted_answer string, correct boolean, methodb_correct boolean")
+    from gradelake.functions.latex import grade_any
+
+    kind = F.when(F.col("gt_answer") == "4", "integer").otherwise("latex")
+    out = ev.regrade(df, kind, grade_any)
+    got = {r.response[-12:]: (r.correct, r.methodb_correct, r.unread) for r in out.collect()}
+    assert sorted(got.values(), key=str) == sorted([(True, True, False), (False, False, False), (True, None, True)], key=str)
+
+
+def test_missing_votes_count_alike_in_both_plans(spark):
+    from gradelake.operators import validation as V
+
+    rows = [("g", i, float(i % 3), None if i % 2 else "a") for i in range(9)]
+    df = spark.createDataFrame(rows, "grp string, o int, v double, vote string")
+    few, many = (sorted(map(tuple, V.bootstrap(df, ["grp"], ["o"], "v", "vote", boots=50, array_limit=n).collect())) for n in (100, 3))
+    assert len(few) == len(many) and all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-9 for a, b in zip(few, many))
+    assert any(r[2].startswith("maj") for r in few)

@@ -40,20 +40,6 @@ def test_gate(spark, block):
         assert out[seq] == (stale, stale >= 12)
 
 
-def test_live_queue(spark, tmp_path):
-    src = str(tmp_path / "in")
-    ops = [("q", i, (i * 7919) % 10 < 6, f"s{i}") for i in range(120)]
-    ddl = "queue string, seq long, is_put boolean, sample string"
-    for at in range(0, 120, 30):
-        spark.createDataFrame(ops[at : at + 30], ddl).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
-    out = live.stream_queue(stream, 5)
-    q = out.writeStream.format("memory").queryName("live_queue").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {int(r["sample"][1:]): r["event"] for r in spark.table("live_queue").collect()}
-    assert got == simulate([(o[1], o[2]) for o in ops], 5)[0]
-
-
 def test_live_buffer_and_stale_counts(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [("p", "k1", "status", "running", 1, 1, 1, 3), ("p", "k1", "status", "success", 2, 1, 3, 3), ("p", "k2", "status", "success", 3, 2, 1, 3)]
