@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gradelake.llm import common as C
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marked", "n_bare"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marked", "n_bare", "n_stutter"]
 
 SYMBOLS = C.byte_table(b"#*$%&|<>")
 UPPER = C.byte_table(bytes(range(0x41, 0x5B)))
@@ -33,10 +33,11 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 10",
     "repeats": "100 * n_repeat_words > 20 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "same_lines": "10 * n_dup_lines > 3 * n_lines",
+    "same_lines": "n_dup_lines > 2 and 10 * n_dup_lines > 3 * n_lines",
     "shouting": "n_letters > 0 and 2 * n_upper > n_letters",
     "marked_words": "10 * n_marked > 2 * n_words",
-    "bare_words": "10 * n_bare > 3 * n_words",
+    "bare_words": "n_bare > 5 and 10 * n_bare > 3 * n_words",
+    "stutter": "n_stutter > 2 and 10 * n_stutter > 3 * n_words",
     "word_length": "word_chars < 2 * n_words or word_chars > 25 * n_words",
 }
 
@@ -44,7 +45,7 @@ RULES: dict[str, str] = {
 POLICIES: dict[str, tuple[str, ...]] = {
     "base@1": ("few_words", "repeats"),
     "web@1": ("few_words", "repeats", "symbols", "same_lines", "word_length"),
-    "web@2": ("few_words", "repeats", "symbols", "same_lines", "word_length", "shouting", "marked_words", "bare_words"),
+    "web@2": ("few_words", "repeats", "symbols", "same_lines", "word_length", "shouting", "marked_words", "bare_words", "stutter"),
 }
 CURRENT = "web@2"
 
@@ -62,7 +63,10 @@ def measure(batch: pa.RecordBatch) -> list[np.ndarray]:
     marked = at[end] - at[begin] > 0
     at = np.concatenate(([0], np.cumsum(letters, dtype=np.int64)))
     bare = at[end] == at[begin]
-    hashes, first = C.grams(C.span_hashes(data, begin, end), doc, WINDOW)
+    word = C.span_hashes(data, begin, end)
+    stutter = np.zeros(len(word), bool)
+    stutter[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
+    hashes, first = C.grams(word, doc, WINDOW)
     twice = pd.Series(hashes ^ C.mix(doc[first].astype(np.uint64) + np.uint64(1))).duplicated(keep=False).to_numpy()
     edge = np.zeros(len(begin) + 1, np.int64)
     np.add.at(edge, first[twice], 1)
@@ -88,6 +92,7 @@ def measure(batch: pa.RecordBatch) -> list[np.ndarray]:
         C.counts_between(LETTER[data], offsets),
         np.bincount(doc[marked], minlength=docs),
         np.bincount(doc[bare], minlength=docs),
+        np.bincount(doc[stutter], minlength=docs),
     ]
 
 
