@@ -88,12 +88,12 @@ def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Reverse discounted return that restarts after every masked-out token."""
 
     def one(r, m):
-        out, run_sum = [0.0] * len(r), 0.0
-        rewards_, live = r.tolist(), m.tolist()
-        for i in range(len(out) - 1, -1, -1):
-            out[i] = run_sum = rewards_[i] + gamma * run_sum
-            run_sum *= live[i]
-        return np.array(out)
+        # what the next masked-out token would pass on is taken off again
+        whole = np.append(_discounted_suffix(r, gamma), 0.0)
+        cuts = np.append(np.flatnonzero(m == 0), len(r))
+        here = np.arange(len(r))
+        following = cuts[np.searchsorted(cuts, here, "right")]
+        return whole[:-1] - float(gamma) ** (following - here) * whole[following]
 
     @F.pandas_udf(_DOUBLES)
     def run(r: pd.Series, m: pd.Series) -> pd.Series:
