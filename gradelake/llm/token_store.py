@@ -6,7 +6,7 @@ follows from one sum per shard. The files are written by Spark's own Parquet wri
 task), with version-2 pages: integers and list levels are delta- or run-length coded, strings use dictionaries, and each
 column chunk has a page index. Reading metadata touches no token page; reading a few documents by id uses the page index.
 
-Words are encoded once per task and then looked up, which gives exactly the ids of encoding the whole text: the
+Words are encoded once per worker and then looked up, which gives exactly the ids of encoding the whole text: the
 tokenizer never joins anything across a blank, nor letters and signs. Words of plain letters or signs are lower-cased
 here and go to the tokenizer in long lines; every other word goes through all its steps on its own.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from gradelake.llm import common as C
 
 END_ID = 2
-#: Words that one task remembers; when full it starts again, so its memory is bounded.
+#: Words that one worker remembers; when full it starts again, so its memory is bounded.
 CACHE_WORDS = 1 << 18
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -48,11 +48,11 @@ class Encoder:
     """ids of words, remembered. ``path``: a tokenizers file whose words end with ``</w>``."""
 
     def __init__(self, path: str, end_id: int = END_ID):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.lean = Tokenizer.from_file(path)
-        self.lean.normalizer = normalizers.Sequence([])
+        # the same model without the steps before it
+        self.lean = Tokenizer(self.whole.model)
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -149,6 +149,17 @@ class Encoder:
         return ids, np.concatenate(([0], ends[last - 1] if len(last) else np.empty(0, np.int64))).astype(np.int64)
 
 
+#: The encoder of this Python worker: a worker runs many tasks, and what it has learned serves all of them.
+_held: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int = END_ID) -> Encoder:
+    if (path, end_id) not in _held:
+        _held.clear()
+        _held[path, end_id] = Encoder(path, end_id)
+    return _held[path, end_id]
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, meta: list[str] | None = None, text: str = "text", end_id: int = END_ID) -> None:
     """Write the token files of ``docs`` to ``folder``, in ascending order of the id."""
     meta = meta or []
@@ -156,9 +167,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, meta: list[str] | None =
     schema = f"{kinds}, shard int, shard_start bigint, n_tokens bigint, input_ids array<int>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, before = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        words, shard, before = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         for batch in C.steps(batches, limit=C.STEP_BYTES):
-            ids, at = encoder.encode(["" if t is None else t for t in batch.column("text").to_pylist()])
+            ids, at = words.encode(["" if t is None else t for t in batch.column("text").to_pylist()])
             size = np.diff(at)
             start = before + at[:-1]
             before += int(at[-1])
