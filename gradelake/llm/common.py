@@ -20,7 +20,7 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
 #: Rows that Spark hands to Python at once: texts are long, and a batch is held whole.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -32,8 +32,8 @@ from gradelake.llm import common as C
 
 END_ID = 2
 #: Words that one worker remembers; when full it starts again, so its memory is bounded.
-CACHE_WORDS = 1 << 18
-ROW_GROUP_BYTES = 32 << 20
+CACHE_WORDS = 3 << 16
+ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -41,7 +41,7 @@ _PLAIN = re.compile(f"([{_LETTERS}]+)?([!#$%&()*+,./:;<=>?@^_`{{|}}~-]+)?")
 _BLANKS = re.compile("[ \t\n\r]+")
 _END = "\n"
 #: Words that go to the tokenizer in one call.
-_LINE, _LINES = 512, 64
+_LINE, _LINES = 512, 16
 
 
 class Encoder:
@@ -168,7 +168,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, meta: list[str] | None =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shard, before = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        for batch in C.steps(batches, limit=C.STEP_BYTES):
+        for batch in C.steps(batches, limit=C.STEP_BYTES // 2):
             ids, at = words.encode(["" if t is None else t for t in batch.column("text").to_pylist()])
             size = np.diff(at)
             start = before + at[:-1]
