@@ -100,7 +100,7 @@ def apportion(parties: DataFrame, house: str, votes: str, limit: str, group: Seq
     return each.groupBy(*names, "sure_").agg(F.sum("won_").alias("won_")).select(*names, (F.col("sure_") + F.col("won_")).alias(seats))
 
 
-def mix(
+def _shares(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
     repeats: int = REPEATS,
@@ -108,7 +108,7 @@ def mix(
     seed: int = SEED,
     keys: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
-    """(``keys``, size, source, source_size, target, taken) for every document."""
+    """(``keys``, size, source, source_size, target, taken, shard, draw) for every document."""
     sized = docs.select(*keys, "source", word_count().alias("size"), F.xxhash64(F.lit(seed), *keys, "text").alias("draw"))
     sized = C.written(sized, "sizes")
     n_rows, n_words = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -159,16 +159,38 @@ def mix(
         return F.col("all_") * word + block_words * drawn(block) + part
 
     took = (taken(F.col("to_")) - taken(F.col("to_") - F.col("size"))).cast("bigint")
-    return rows.select(*keys, "size", "source", "source_size", "target", took.alias("taken"))
+    return rows.select(*keys, "size", "source", "source_size", "target", took.alias("taken"), "shard", "draw")
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    repeats: int = REPEATS,
+    block_words: int = BLOCK_WORDS,
+    seed: int = SEED,
+    keys: Sequence[str] = ("doc_id",),
+) -> DataFrame:
+    """(``keys``, size, source, source_size, target, taken) for every document."""
+    return _shares(docs, weights, repeats, block_words, seed, keys).drop("shard", "draw")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """The mix as documents: each row as often as its words are taken on average, the fraction drawn by a seeded hash."""
+    """The mix as documents: each row as often as its words are taken on average, rounded along each shard.
+
+    In a shard the documents stand by size, and the running sum of what they are taken is rounded from a seeded start, so
+    each is taken the whole number of times below or above its share. Rounding errors of neighbours, alike in size, cancel:
+    the words of a shard are off by at most its largest document.
+    """
     key = ["doc_id", "row_"]
-    shares = mix(docs.select("doc_id", "source", "text", C.row_key().alias("row_")), weights, repeats, seed=seed, keys=key)
+    shares = _shares(docs.select("doc_id", "source", "text", C.row_key().alias("row_")), weights, repeats, seed=seed, keys=key)
     often = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1.0))
-    chance = F.pmod(F.xxhash64(F.lit(seed), "row_"), F.lit(1 << 20)) / float(1 << 20)
-    times = shares.select(*key, F.floor(often + chance).cast("int").alias("times"))
+    start = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.lit(1 << 20)) / float(1 << 20)
+    by_size = Window.partitionBy("source", "shard").orderBy("size", "draw", *key)
+    shares = shares.withColumn("often", often)
+    shares = shares.withColumn("sum_", start + F.sum("often").over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # the difference of rounded sums; the bound only meets errors of floating point
+    step = F.floor("sum_") - F.floor(F.coalesce(F.lag("sum_").over(by_size), start))
+    times = shares.select(*key, F.least(step, F.lit(repeats)).cast("int").alias("times"))
     # equal rows have equal keys and get the mean of their times
     times = times.groupBy(*key).agg(F.round(F.avg("times")).cast("int").alias("times")).where("times > 0")
     times = C.written(times.select(F.col("doc_id").alias("mix_id"), F.col("row_").alias("mix_row"), "times"), "times")

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import defaultdict
 from fractions import Fraction
@@ -85,3 +86,16 @@ def test_mixed_documents(docs, odd, make):
     assert M.mixed_documents(odd).columns == odd.columns
     assert M.mixed_documents(odd).where("times <> 'x' OR copy <> 'x'").isEmpty()
     assert M.mix(make([]).limit(0)).isEmpty() and M.mixed_documents(make([]).limit(0)).isEmpty()
+
+
+def test_mixed_documents_meet_the_target_of_each_source(make):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randint(30, 50)), "abcdef"[i % 6]) for i in range(9000)]
+    docs = make(rows)
+    words = {r[0]: r[1] for r in M.mixed_documents(docs).groupBy("source").agg(F.sum(M.word_count()).alias("n")).collect()}
+    want = {r[0]: (r[1], r[2]) for r in M.mix(docs).groupBy("source").agg(F.first("target"), F.sum("taken")).collect()}
+    shards = 1500 / 64
+    for s, (target, taken) in want.items():
+        assert abs(words[s] - taken) <= 50 * shards / 4, (s, words[s], taken)
+        # the blocks at the ends of shards are not full
+        assert abs(words[s] - target) <= 50 * shards / 4 + M.BLOCK_WORDS * shards, (s, words[s], target)
