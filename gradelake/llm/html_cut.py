@@ -3,8 +3,11 @@
 A page is cut into blocks of text. A linear classifier gives each block the log-odds of being content; its two
 losses become the capacities to the two terminals. Neighbours in the page and neighbours under one parent are joined by
 smoothness edges. The minimum cut of that graph is the labelling of least total cost; blocks on the content side are
-the text. Elements that can only be furniture (navigation, forms, scripts, adverts, reader comments ...) are not
-left to the classifier: their capacity is larger than all smoothness edges of a block can be.
+the text. Elements that can only be furniture by their tag (navigation, footers, controls, what is hidden ...) are not
+left to the classifier: their capacity is larger than all smoothness edges of a block can be. Names (class, id, role) and
+forms are evidence of finite weight. They say nothing on a heading, in a compound with has-, no- or with-, in an id of
+which a part is another word (such ids are made from headings), or on an element that holds an article or, in a page
+without one, more than ``MOST`` of the words.
 
 Work is per page and pages are independent, so nothing is shuffled.
 
@@ -36,7 +39,7 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label",
     "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset", "head"}
+FURNITURE = {"nav", "footer", "aside", "button", "select", "menu", "dialog", "fieldset", "head"}
 BODY = {"article", "main"}
 CLOSES_P = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "section", "article", "blockquote", "pre", "form", "nav", "aside", "header", "footer", "main", "figure", "dl"}
 
@@ -47,22 +50,40 @@ FURNITURE_NAME = re.compile(
 )
 BODY_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|body|text|main)(?:$|[\s_-])", re.I)
 
+#: Parts of an id that only tell the place or kind of a piece of furniture.
+PLACE = re.compile(r"(?:site|page|top|bottom|left|right|main|primary|secondary|global|bar|box|list|links|container|wrapper|wrap|inner|area|block|section|panel|cookie|buttons?|form|slot|unit|posts?|articles?|\d*)", re.I)
+#: Names that negate or only mention what they are compounded with.
+MENTION = re.compile(r"(?:has|no|with|without|not|is|hide|show)[_-]", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: An element with more of the page's words than this is not furniture by its name.
+MOST = 0.5
+
 #: Weights of the classifier, in log-odds: what speaks for content.
-WEIGHTS = {"bias": -1.0, "in_body": 4.0, "body_name": 2.0, "words": 0.08, "words_most": 2.0, "links": -4.0, "sentence": 0.7, "heading": 0.5}
+WEIGHTS = {"bias": -1.0, "in_body": 4.0, "body_name": 2.0, "words": 0.08, "words_most": 2.0, "links": -4.0, "sentence": 0.7, "heading": 0.5, "furniture_name": -9.0}
 CERTAIN = 40.0
 ADJACENT = 0.5
 SIBLING = 0.5
 
 
 class Block:
-    __slots__ = ("words", "text", "linked", "parent", "furniture", "body", "named", "heading")
+    __slots__ = ("words", "text", "linked", "parent", "furniture", "body", "named", "heading", "suspects")
+
+
+def furniture_name(tag: str, names: list[str], ids: list[str]) -> bool:
+    """Whether a class, role or id names the element as furniture."""
+    if tag in HEADINGS:
+        return False
+    if any(FURNITURE_NAME.search(n) and not MENTION.match(n) for n in names):
+        return True
+    return any(FURNITURE_NAME.search(n) and all(FURNITURE_NAME.search(p) or PLACE.fullmatch(p) for p in re.split("[_-]", n)) for n in ids)
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     out: list[Block] = []
-    # an open element: tag, number, furniture, body, named as body
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # an open element: tag, number, furniture, body, named as body, numbers of the elements around that may be furniture
+    stack: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]] = [("", 0, False, False, False, ())]
+    holds: set[int] = set()
     parts: list[str] = []
     linked = 0
     links = 0
@@ -78,8 +99,8 @@ def blocks(page: str) -> list[Block]:
                 b.words, b.text, b.linked = len(words), " ".join(words), linked
                 holder = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
                 top = stack[-1]
-                b.furniture, b.body, b.named = top[2], top[3], top[4]
-                b.heading = holder[0] in ("h1", "h2", "h3", "h4", "h5", "h6")
+                b.furniture, b.body, b.named, b.suspects = top[2], top[3], top[4], top[5]
+                b.heading = holder[0] in HEADINGS
                 at = stack.index(holder)
                 b.parent = stack[at - 1][1] if at else 0
                 out.append(b)
@@ -131,22 +152,36 @@ def blocks(page: str) -> list[Block]:
                 if stack[i][0] not in INLINE:
                     break
         number += 1
-        _, _, furniture, body, named = stack[-1]
+        _, _, furniture, body, named, suspects = stack[-1]
         given = m[3] or m[6] or ""
-        names, hidden = "", False
+        names, ids, hidden = "", "", False
         if given.strip(" /"):
             for name, x, y, z, alone in ATTRIBUTE.findall(given):
                 value = x or y or z
                 if name.lower() in ("class", "id", "role"):
                     names += f" {value}"
+                    ids += f" {value}" if name.lower() == "id" else ""
                 elif alone or name.lower() == "aria-hidden" and value == "true" or name.lower() == "style" and "display:none" in value.replace(" ", ""):
                     hidden = True
         is_body = tag in BODY or "main" in names.split()
         outer = tag == "header" and not body
-        furniture = furniture or tag in FURNITURE or outer or hidden or bool(names and tag not in ("html", "body") and not is_body and FURNITURE_NAME.search(names))
-        stack.append((tag, number, furniture, body or is_body, named or bool(names and BODY_NAME.search(names))))
+        furniture = furniture or tag in FURNITURE or outer or hidden
+        called = bool(names) and tag not in ("html", "body") and furniture_name(tag, [n for n in names.split() if n not in ids.split()], ids.split())
+        if is_body and not called:
+            holds.update(suspects)
+        if tag == "form" or called and not is_body:
+            suspects = (*suspects, number)
+        stack.append((tag, number, furniture, body or is_body, named or bool(names and BODY_NAME.search(names)), suspects))
         links += tag == "a"
     flush()
+    size: dict[int, int] = {}
+    for b in out:
+        for e in b.suspects:
+            size[e] = size.get(e, 0) + b.words
+    # an article outside leaves no doubt what the page is about, however long its comments are
+    most = float("inf") if any(b.body for b in out) else MOST * sum(b.words for b in out)
+    for b in out:
+        b.suspects = tuple(e for e in b.suspects if e not in holds and size[e] <= most)
     return out
 
 
@@ -154,7 +189,7 @@ def log_odds(b: Block) -> float:
     if b.furniture:
         return -CERTAIN
     w = WEIGHTS
-    odds = w["bias"] + w["in_body"] * b.body + w["body_name"] * b.named + min(w["words_most"], w["words"] * b.words)
+    odds = w["bias"] + w["furniture_name"] * bool(b.suspects) + w["in_body"] * b.body + w["body_name"] * b.named + min(w["words_most"], w["words"] * b.words)
     return odds + w["links"] * b.linked / b.words + w["sentence"] * (b.text[-1] in ".!?…\"'") + w["heading"] * b.heading
 
 

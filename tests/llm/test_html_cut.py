@@ -43,6 +43,23 @@ def test_pages(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='layout has-sidebar'><article><p>{WORDS}</p></article><div class=sidebar>{WORDS}</div></div>", WORDS),
+        (f"<div class='sidebar-layout'><main><p>{WORDS}</p></main></div>", WORDS),
+        (f"<div class='content no-sidebar'><p>{WORDS}</p><p>{WORDS}</p></div>", f"{WORDS}\n{WORDS}"),
+        (f"<article><h2 id='side-effects'>Side effects</h2><p>{WORDS}</p><section id='related-work'><p>{WORDS}</p></section></article>", f"Side effects\n{WORDS}\n{WORDS}"),
+        (f"<article><h2 id='search-algorithms'>Search</h2><p>{WORDS}</p><section id='navigation-principles'><h2>Ways</h2><p>{WORDS}</p></section></article>", f"Search\n{WORDS}\nWays\n{WORDS}"),
+        (f"<form><article><p>{WORDS}</p></article></form>", WORDS),
+        (f"<form action=x><div class=content><p>{WORDS}</p><p>{WORDS}</p></div></form>", f"{WORDS}\n{WORDS}"),
+        (f"<article><p>{WORDS}</p></article><section class=comments>" + f"<article class=comment><p>{WORDS}</p></article>" * 5 + "</section>", WORDS),
+    ],
+)
+def test_names_do_not_take_the_article(page, text):
+    assert H.main_text(page) == text
+
+
 def test_cut_is_the_cheapest_labelling():
     rng = random.Random(5)
     for _ in range(60):
