@@ -3,9 +3,9 @@
 Fixed patterns find the protected entities (addresses, numbers). Terms that stand near an entity may reveal it although
 they match no pattern; how strongly is estimated from the corpus. With N documents, a term t discloses an entity e to
 the degree PMI(e; t) / IC(e), where ``PMI = log2(N df(e, t) / (df(e) df(t)))`` and ``IC(e) = log2(N / df(e))``: 1 if the
-term stands nowhere but with the entity. Terms at or above ``DISCLOSES`` that stand with the entity in at least
-two different contexts (copies of one context count once) are spans of kind ``term`` in the documents
-that hold the entity. All counts are over all documents. Sanitised text puts a class name for entities, and generalises
+term stands nowhere but with the entity. A pair that one context alone shows (copies of one context count once) weighs
+less: its joint count is 1 over the number of different contexts of the entity, and df(t) is taken one higher. Terms at
+or above ``DISCLOSES`` are spans of kind ``term`` in the documents that hold the entity. All counts are over all documents. Sanitised text puts a class name for entities, and generalises
 terms to their shape class or removes them.
 
 Documents without an entity are left as they are. Positions are code points, ends exclusive. Kinds in order: email, ip,
@@ -131,18 +131,21 @@ def _terms(text: Column) -> Column:
 def disclosing(docs: DataFrame, near: DataFrame, threshold: float = DISCLOSES) -> DataFrame:
     """(entity, term, degree) of every pair at or above the threshold. ``near``: doc_id, row_, entity, context."""
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    held = near.groupBy("entity").agg(F.count_distinct("doc_id", "row_").alias("df_entity"))
-    pairs = near.select("doc_id", "row_", "entity", F.xxhash64("context").alias("where_"), F.explode(_terms(F.col("context"))).alias("term"))
+    near = near.withColumn("where_", F.xxhash64("context"))
+    held = near.groupBy("entity").agg(F.count_distinct("doc_id", "row_").alias("df_entity"), F.count_distinct("where_").alias("contexts"))
+    pairs = near.select("doc_id", "row_", "entity", "where_", F.explode(_terms(F.col("context"))).alias("term"))
     met = pairs.groupBy("entity", "term", "doc_id", "row_").agg(F.min("where_").alias("low"), F.max("where_").alias("high"))
     met = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both"), F.min("low").alias("low"), F.max("high").alias("high"))
-    # two different contexts at least: the least and the largest of their hashes tell
-    met = C.written(met.where(F.col("low") < F.col("high")), "met")
+    met = C.written(met, "met")
     counts = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
     # an inner join: a semi join would be moved below the sums, and every word of every document would be shuffled
     priced = counts.join(met.select("term").distinct(), "term")
     rows = met.join(priced, "term").join(held, "entity").join(F.broadcast(n_docs))  # n_docs is one row
     information = F.log2(F.col("n_docs") / F.col("df_entity"))
-    pmi = F.log2(F.col("n_docs") * F.col("df_both") / (F.col("df_entity") * F.col("df_term")))
+    # one context or more: the least and the largest of their hashes tell
+    once = F.col("low") == F.col("high")
+    both = F.when(once, 1 / F.col("contexts")).otherwise(F.col("df_both"))
+    pmi = F.log2(F.col("n_docs") * both / (F.col("df_entity") * (F.col("df_term") + once.cast("int"))))
     degree = F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
     return rows.select("entity", "term", degree.alias("degree")).where(F.col("degree") >= threshold)
 

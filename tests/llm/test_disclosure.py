@@ -77,3 +77,10 @@ def test_spans_of_terms_do_not_touch_entities(docs, raw_docs):
         spans = D.parsed(r["spans"])
         assert spans == sorted(spans)
         assert all(re.fullmatch(r"[^\W\d_]+", texts[r["doc_id"]][a:b]) for k, a, b in spans if k == 4)
+
+
+def test_an_entity_that_stands_once_has_terms(make):
+    rows = [(i, f"common words about weather number of the day {chr(97 + i % 26)}") for i in range(200)]
+    rows += [(500, "the surgeon Okonkwo answers ok@mail.example about the weather")]
+    clean = {r["doc_id"]: r["text"] for r in D.sanitise(make(rows)).collect()}
+    assert clean[500] == "the  [name]  [email] about the weather"
