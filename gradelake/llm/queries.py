@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import containment, disclosure, html_cut, line_dedup, mixing, order_minhash, quality_ledger, secret_scan, token_store, warc
+from gradelake.llm import byte_bpe, containment, disclosure, html_cut, line_dedup, mixing, order_minhash, quality_ledger, secret_scan, token_store, warc
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +66,16 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.scan(table(spark, sf_dir, "documents")).drop("row_")
 
 
+def op11_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(BYTE_TOKENIZER)
+    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_source_mix, op3_warc_revisits, op4_order_minhash, op5_line_dedup,
-        op6_token_store, op7_html_cut, op8_quality_ledger, op9_benchmark_leaks, op10_disclosure,
+        op6_token_store, op7_html_cut, op8_quality_ledger, op9_benchmark_leaks, op10_disclosure, op11_forced_boundary_bpe,
     )
 }
 
