@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import byte_bpe, containment, disclosure, html_cut, line_dedup, mixing, order_minhash, quality_ledger, secret_scan, token_store, warc
+from gradelake.llm import byte_bpe, containment, disclosure, html_cut, line_dedup, mixing, order_minhash, quality_ledger, secret_scan, token_store, variants, warc
 
 TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -71,14 +71,36 @@ def op11_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.damaged_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_source_mix, op3_warc_revisits, op4_order_minhash, op5_line_dedup,
         op6_token_store, op7_html_cut, op8_quality_ledger, op9_benchmark_leaks, op10_disclosure, op11_forced_boundary_bpe,
+        op12_spelling_variants,
     )
 }
 
+def _crc_table() -> str:
+    """CRC-32 of the sixteen half bytes, as a SQL list."""
+    row = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        row.append(c)
+    return str(row)
+
+
+def crc32_sql(value: str) -> str:
+    """CRC-32 of the UTF-8 of a SQL string expression: half bytes, the lower one of each byte first."""
+    digits = f"list_transform(range(strlen({value}) * 2), lambda i: instr('0123456789ABCDEF', substr(hex(encode({value})), i + 1 + (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END), 1)) - 1)"
+    step = f"lambda c, d: xor(c >> 4, ({_crc_table()}::BIGINT[])[1 + (xor(c, d) & 15)])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({digits}, lambda d: d::BIGINT)), {step}), 4294967295::BIGINT)"
+
+
 _PAYLOADS = "SELECT page_id, coalesce(html, '') AS payload FROM pages"
 
 ORACLES = {
@@ -105,4 +127,33 @@ ORACLES = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM d GROUP BY doc_id
     """,
+    "op12_spelling_variants": f"""
+        WITH r AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents) GROUP BY ALL
+        ), h AS (
+            SELECT run, c, {crc32_sql("key")} AS h FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM r)
+        ), v AS MATERIALIZED (
+            SELECT word, sum(c)::BIGINT AS n FROM (
+                SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h
+            ) WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+        ), d AS MATERIALIZED (
+            SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)
+        ), p AS (
+            SELECT a.word AS word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT d.word, v.word FROM d JOIN v ON d.rest = v.word
+            UNION SELECT v.word, d.word FROM d JOIN v ON d.rest = v.word
+        ), s AS (
+            SELECT p.word, count(*) AS n_near, arg_min(near, (-n, near)) AS best, max(n) AS best_n FROM p JOIN v ON p.near = v.word GROUP BY p.word
+        ), f AS MATERIALIZED (
+            SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+            FROM v LEFT JOIN s ON v.word = s.word
+        ), u AS (
+            WITH RECURSIVE way AS (
+                SELECT word, form AS top, 1 AS d FROM f WHERE form IS NOT NULL
+                UNION ALL SELECT way.word, f.form, d + 1 FROM way JOIN f ON f.word = way.top WHERE f.form IS NOT NULL
+            ) SELECT word, arg_max(top, d) AS root FROM way GROUP BY word
+        )
+        SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN u ON f.word = u.word
+    """,
 }
