@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import byte_bpe, containment, disclosure, html_cut, line_dedup, mixing, order_minhash, quality_ledger, secret_scan, token_store, variants, warc
+from gradelake.llm import byte_bpe, containment, disclosure, html_cut, line_dedup, mixing, order_minhash, prefix_trie, quality_ledger, secret_scan, token_store, variants, warc
 
 TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -75,12 +75,16 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(variants.damaged_counts(table(spark, sf_dir, "documents")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digests(*prefix_trie.trie(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_source_mix, op3_warc_revisits, op4_order_minhash, op5_line_dedup,
         op6_token_store, op7_html_cut, op8_quality_ledger, op9_benchmark_leaks, op10_disclosure, op11_forced_boundary_bpe,
-        op12_spelling_variants,
+        op12_spelling_variants, op13_prefix_trie,
     )
 }
 
@@ -156,4 +160,32 @@ ORACLES = {
         )
         SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN u ON f.word = u.word
     """,
+    "op13_prefix_trie": f"""
+        WITH o AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i FROM o),
+        c AS (SELECT conv_id, conv_id - conv_id % 100 AS stem, {crc32_sql("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+        r AS (
+            SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = stem AND i <= h
+            UNION ALL SELECT c.conv_id, h + i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND i > h
+        ), d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth FROM r),
+        p AS MATERIALIZED (
+            SELECT conv_id, depth, length(text) AS chars, string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY depth)
+                OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS path FROM d
+            UNION ALL SELECT conv_id, 0, 0, '' FROM c
+        ), n AS MATERIALIZED (
+            SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM p GROUP BY depth, path
+        ), w AS MATERIALIZED (
+            SELECT n.*, u.path AS parent_path, v.conv_id AS parent_conv_id
+            FROM n LEFT JOIN p u ON u.conv_id = n.conv_id AND u.depth = n.depth - 1 LEFT JOIN n v ON v.path = u.path AND v.depth = u.depth
+        ), k AS (SELECT depth - 1 AS depth, parent_path AS path, count(*) AS n_children FROM w WHERE depth > 0 GROUP BY ALL),
+        s AS (
+            SELECT a.depth, a.path, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved
+            FROM n LEFT JOIN k ON k.path = n.path AND k.depth = n.depth JOIN p a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.depth, a.path
+        ), e AS (
+            SELECT depth, path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+            FROM (SELECT conv_id, max(depth) AS depth, arg_max(path, depth) AS path FROM p GROUP BY conv_id) GROUP BY depth, path
+        )
+        SELECT w.conv_id, w.depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+        FROM w JOIN s ON s.path = w.path AND s.depth = w.depth LEFT JOIN k ON k.path = w.path AND k.depth = w.depth LEFT JOIN e ON e.path = w.path AND e.depth = w.depth
+    """,
 }
