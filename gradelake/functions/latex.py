@@ -1,181 +1,80 @@
-"""Numeric LaTeX answers: a small evaluator for grading, applied to distinct answer pairs only."""
+"""Grading of LaTeX answers, each distinct pair once (see ``symbolic`` for what is read and what is equal)."""
 
 from __future__ import annotations
 
-import math
-import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradelake.functions import symbolic
 from gradelake.operators.groups import join_skewed
 
-_TOKEN = re.compile(r"\s*(\d+\.\d+|\.\d+|\d+|\\[a-zA-Z]+|[-+*/^!(){}\[\],%])")
-# Spellings that mean the same thing.
-_SAME = {
-    "\\dfrac": "\\frac", "\\tfrac": "\\frac", "\\cdot": "*", "\\times": "*", "\\left": "", "\\right": "", "\\,": "", "\\!": "",
-    "\\;": "", "\\ ": "", "$": "", "\\{": "", "\\}": "", "²": "^2",
-}
-
-
-class _Reader:
-    """Recursive descent over + - * / juxtaposition ^ ! and \\frac, \\sqrt, \\pi."""
-
-    def __init__(self, text: str):
-        for a, b in _SAME.items():
-            text = text.replace(a, b)
-        text = re.sub(r"^\s*[a-zA-Z](?:_\w)?\s*=", "", re.sub(r"(?<=\d),(?=\d{3}(?!\d))", "", text))
-        self.toks, pos = [], 0
-        while pos < len(text.rstrip()):
-            m = _TOKEN.match(text, pos)
-            if not m:
-                raise ValueError(text)
-            self.toks.append(m.group(1))
-            pos = m.end()
-        self.i = 0
-
-    def peek(self):
-        return self.toks[self.i] if self.i < len(self.toks) else ""
-
-    def take(self, want: str = ""):
-        tok = self.peek()
-        if not tok or (want and tok != want):
-            raise ValueError(tok)
-        self.i += 1
-        return tok
-
-    def items(self) -> list[float]:
-        out = [self.sum()]
-        while self.peek() == ",":
-            self.take()
-            out.append(self.sum())
-        if self.peek():
-            raise ValueError(self.peek())
-        return out
-
-    def sum(self) -> float:
-        sign = 1.0
-        while self.peek() in ("+", "-"):
-            sign = -sign if self.take() == "-" else sign
-        value = sign * self.product()
-        while self.peek() in ("+", "-"):
-            value = value + self.product() if self.take() == "+" else value - self.product()
-        return value
-
-    def product(self) -> float:
-        value = self.power()
-        while self.peek() and self.peek() not in ("+", "-", ",", ")", "}", "]"):
-            if self.peek() == "/":
-                self.take()
-                value /= self.power()
-            elif self.peek() == "%":
-                self.take()
-                value /= 100
-            else:
-                if self.peek() == "*":
-                    self.take()
-                value *= self.power()
-        return value
-
-    def power(self) -> float:
-        if self.peek() == "-":
-            self.take()
-            return -self.power()
-        base = self.atom()
-        while self.peek() == "!":
-            self.take()
-            base = float(math.factorial(int(base))) if base == int(base) and 0 <= base <= 170 else float("nan")
-        if self.peek() == "^":
-            self.take()
-            base = base ** (self.group() if self.peek() == "{" else self.power())
-        return base
-
-    def group(self) -> float:
-        if self.peek() != "{":
-            tok = self.peek()  # \frac12 takes single digits
-            if tok.isdigit() and len(tok) > 1:
-                self.toks[self.i : self.i + 1] = list(tok)
-            return self.atom()
-        self.take("{")
-        value = self.sum()
-        self.take("}")
-        return value
-
-    def atom(self) -> float:
-        tok = self.take()
-        if tok in ("(", "{", "["):
-            value = self.sum()
-            self.take({"(": ")", "{": "}", "[": "]"}[tok])
-            return value
-        if tok == "\\frac":
-            top = self.group()
-            return top / self.group()
-        if tok == "\\sqrt":
-            root = 2.0
-            if self.peek() == "[":
-                self.take()
-                root = self.sum()
-                self.take("]")
-            return self.group() ** (1.0 / root)
-        if tok == "\\pi":
-            return math.pi
-        return float(tok)
-
-
-def _values(text: str) -> list[float] | None:
-    try:
-        out = _Reader(text).items()
-        return out if all(isinstance(v, float) and math.isfinite(v) for v in out) else None
-    except (ValueError, ZeroDivisionError, OverflowError, TypeError, RecursionError):
-        return None
-
-
-def _close(a: float, b: float) -> bool:
-    return round(a, 3) == round(b, 3) or abs(a - b) / max(abs(a), abs(b), 1e-12) < 1e-3
-
-
-def _same(gold: str, cand: str) -> bool | None:
-    """True/False, or None when one side is outside the grammar."""
-    if not gold or not cand:
-        return False
-    g = _values(gold)
-    forms = [cand]
-    if "\\pm" in cand:
-        both = [cand.replace("\\pm", "+"), cand.replace("\\pm", "-")]
-        forms = [*both, ", ".join(both)]
-    parsed = [v for v in map(_values, forms) if v is not None]
-    if gold.strip() == cand.strip():
-        return True
-    if g is None or not parsed:
-        return None
-    return any(
-        len(p) == len(g) and all(any(_close(x, y) for y in p) for x in g) and all(any(_close(x, y) for x in g) for y in p)
-        for p in parsed
-    )
+#: Pairs and answers that one worker remembers.
+REMEMBERED = 1 << 16
+
+
+@lru_cache(REMEMBERED)
+def _equal(gold: str | None, found: str | None, strict: bool = False) -> bool | None:
+    return symbolic.equal(gold, found, strict)
+
+
+@lru_cache(REMEMBERED)
+def _key(answer: str | None) -> str | None:
+    return symbolic.answer_key(answer)
 
 
 @F.pandas_udf(T.BooleanType())
 def latex_equal(gold: pd.Series, cand: pd.Series) -> pd.Series:
-    return pd.Series([_same(g, c) for g, c in zip(gold, cand)], dtype=object)
+    return pd.Series([_equal(g, c) for g, c in zip(gold, cand)], dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def latex_equal_strict(gold: pd.Series, cand: pd.Series) -> pd.Series:
+    """An integer has to be met by an integer, a quotient by the like quotient."""
+    return pd.Series([_equal(g, c, True) for g, c in zip(gold, cand)], dtype=object)
+
 
+@F.pandas_udf(T.StringType())
+def answer_key(answer: pd.Series) -> pd.Series:
+    """Equal for all spellings of one rational form or structure of such; NULL where there is no exact form."""
+    return pd.Series([_key(a) for a in answer], dtype=object)
 
-def grade_latex(df: DataFrame, predicted: str, gold: str, out: str = "correct", hot_rows: int | None = None) -> DataFrame:
+
+def grade_latex(df: DataFrame, predicted: str, gold: str, out: str = "correct", hot_rows: int | None = None, strict: bool = False) -> DataFrame:
     """Grade each distinct (gold, predicted) pair once and attach the verdict to its rows.
 
     ``<out>`` is false where the pair could not be read; ``<out>_unread`` tells those apart.
     """
     pairs = df.groupBy(gold, predicted).agg(F.count(F.lit(1)).alias("_n"))
-    graded = pairs.withColumn("_same", latex_equal(F.col(gold), F.col(predicted)))
+    graded = pairs.withColumn("_same", (latex_equal_strict if strict else latex_equal)(F.col(gold), F.col(predicted)))
     joined = join_skewed(df, graded, [gold, predicted], "_n", hot_rows)
     return joined.withColumns(
         {out: F.coalesce("_same", F.lit(False)), f"{out}_unread": F.col("_same").isNull()}
     ).drop("_n", "_same")
 
 
+def with_answer_key(df: DataFrame, answer: str, out: str = "answer_key", hot_rows: int | None = None) -> DataFrame:
+    """Attach what groups unlike spellings of one answer: its key, or the answer itself where it has none.
+
+    Each distinct answer is read once.
+    """
+    texts = df.groupBy(answer).agg(F.count(F.lit(1)).alias("_n"))
+    keyed = texts.withColumn(out, F.coalesce(answer_key(F.col(answer)), F.concat(F.lit("="), F.col(answer))))
+    return join_skewed(df, keyed, [answer], "_n", hot_rows).drop("_n")
+
+
+def unread_pairs(graded: DataFrame, by: list[str], out: str = "correct") -> DataFrame:
+    """Rows, correct ones and unread ones per ``by``, of what ``grade_latex`` gives."""
+    return graded.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(out)).alias("n_correct"), F.count_if(F.col(f"{out}_unread")).alias("n_unread")
+    )
+
+
 def grade_any(kind: Column, predicted: Column, gold: Column) -> Column:
-    """Verdict per row for mixed answer kinds (latex pairs are graded row by row here); NULL for pairs that cannot be read."""
+    """Verdict per row for mixed answer kinds (a worker reads each LaTeX pair once); NULL for pairs that cannot be read."""
     from gradelake.functions.extract import grade_integer, grade_letter
 
     return (

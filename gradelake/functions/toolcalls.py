@@ -130,5 +130,5 @@ def test_cases(info: Column, fallback: Column, question: Column) -> Column:
 
 
 def count_tokens(text: Column) -> Column:
-    """Default token count: words and single symbols. Replace with a model tokenizer where one is at hand."""
+    """Words and single symbols, where no tokenizer file is at hand; ``tokenizer.token_counts`` gives a model's own counts."""
     return F.size(F.regexp_extract_all(text, F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1)))

@@ -4,7 +4,7 @@ import importlib
 
 from gradelake.plans.registry import ORACLES, QUERIES
 
-MODULES = ["evaluation", "advantages", "token_folds", "policy", "texts", "monitoring", "batches"]
+MODULES = ["evaluation", "advantages", "token_folds", "policy", "texts", "monitoring", "batches", "symbolic"]
 
 
 def _load() -> None:

@@ -10,8 +10,10 @@ from gradelake.functions import latex as LX
 from gradelake.functions import prompts as P
 from gradelake.functions import rewards as R
 from gradelake.functions import think as TH
+from gradelake.functions import tokenizer as TK
 from gradelake.functions import toolcalls as TC
 from gradelake.operators import evaluation as ev
+from gradelake.operators import rows
 from gradelake.plans.derived import RESPONSES_SQL, responses, with_
 from gradelake.plans.registry import query, table
 
@@ -118,21 +120,21 @@ def _(spark, sf):
 
 @query(
     "tx8_unboxed_fallbacks",
-    """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN '\\frac{1}{' || o_custkey || '}' WHEN 1 THEN CAST(o_custkey AS VARCHAR) WHEN 2 THEN '\\sqrt{' || o_custkey || '}'
-         WHEN 3 THEN CAST(o_custkey AS VARCHAR) WHEN 5 THEN 'a^{' || o_custkey || '}' END AS predicted FROM orders""",
+    """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN '\\binom{' || o_custkey || '}{2}' WHEN 1 THEN CAST(o_custkey AS VARCHAR) WHEN 2 THEN '3^{' || o_custkey || '}'
+         WHEN 3 THEN CAST(o_custkey AS VARCHAR) WHEN 5 THEN 'q_{' || o_custkey || '}' END AS predicted FROM orders""",
 )
 def _(spark, sf):
     c = F.col("o_custkey").cast("string")
     k = F.col("o_orderkey") % 8
     text = (
-        F.when(k == 0, F.concat(F.lit("So we get\n\n$$\\frac{1}{"), c, F.lit("}$$ .")))
-        .when(k == 1, F.concat(F.lit("Thus $\\cos x = "), c, F.lit("$.\n")))
-        .when(k == 2, F.concat(F.lit("hence \\[ \\sqrt{"), c, F.lit("} \\]")))
-        .when(k == 3, F.concat(F.lit("All done.\n\n"), c))
-        .when(k == 4, F.concat(F.lit("All done.\n\nabout "), c))
-        .when(k == 5, F.concat(F.lit("\\boxed{x} or \\boxed{a^{"), c, F.lit("}} as said")))
-        .when(k == 6, F.concat(F.lit("open \\boxed{a^{"), c, F.lit("} only")))
-        .otherwise(F.concat(F.lit("mid $\\pi$ then "), c, F.lit(" words here.")))
+        F.when(k == 0, F.concat(F.lit("It remains to read off\n\n$$\\binom{"), c, F.lit("}{2}$$ .")))
+        .when(k == 1, F.concat(F.lit("By this $\\lambda_1 = "), c, F.lit("$.\n")))
+        .when(k == 2, F.concat(F.lit("giving \\[ 3^{"), c, F.lit("} \\]")))
+        .when(k == 3, F.concat(F.lit("Every other way was tried.\n\n"), c))
+        .when(k == 4, F.concat(F.lit("Every other way was tried.\n\nroughly "), c))
+        .when(k == 5, F.concat(F.lit("\\boxed{p}, and later \\boxed{q_{"), c, F.lit("}} in full")))
+        .when(k == 6, F.concat(F.lit("never closed: \\boxed{q_{"), c, F.lit("} here")))
+        .otherwise(F.concat(F.lit("between $\\mu$ and "), c, F.lit(" other words.")))
     )
     return table(spark, sf, "orders").select("o_orderkey", X.extract_boxed(text).alias("predicted"))
 
@@ -160,7 +162,7 @@ def _(spark, sf):
     wrap = lambda a, b: F.concat(F.lit(a), c, F.lit(b))
     cases = [
         (wrap("\\frac{", "}{8}"), (F.col("o_custkey") / 8).cast("string")),
-        (wrap("8\\sqrt{10} + ", ""), wrap("\\sqrt{640}+", "")),
+        (wrap("", "\\sqrt{7}"), F.concat(F.lit("\\sqrt{"), (F.col("o_custkey") * F.col("o_custkey") * 7).cast("string"), F.lit("}"))),
         (wrap("1, ", ""), wrap("", ", 1")),
         (F.concat(F.lit("1+"), c, F.lit("\\pi, 1-"), c, F.lit("\\pi")), wrap("1 \\pm ", " \\pi")),
         (wrap("3^{2} \\cdot 4! + ", ""), wrap("2^{3}\\cdot 27+2\\cdot", "")),
@@ -643,6 +645,25 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", TC.count_tokens(F.col("text")).cast("long").alias("tokens"))
 
 
+def _ranks_file() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("tx39_bpe_token_counts")
+def _(spark, sf):
+    return TK.token_counts(table(spark, sf, "documents"), ["doc_id"], "text", _ranks_file())
+
+
+@query("pr16_tx39_keep_short_by_tokens")
+def _(spark, sf):
+    turns = TK.token_counts(table(spark, sf, "conversations"), ["conv_id", "turn"], "text", _ranks_file())
+    prompts = turns.groupBy("conv_id").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens").isNull()).alias("unknown"))
+    known = F.when(F.col("unknown") == 0, F.col("tokens"))
+    return rows.keep_short(prompts, known, 1024).select("conv_id", "tokens")
+
+
 @query(
     "sm11_shorten_tool_response",
     """SELECT doc_id, md5(CASE WHEN length(text) <= 200 THEN text WHEN doc_id % 3 = 0 THEN left(text, 200) || '...(truncated)' WHEN doc_id % 3 = 1 THEN '(truncated)...' || right(text, 200)

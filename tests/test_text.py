@@ -1,3 +1,6 @@
+import random
+from itertools import permutations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,55 +17,102 @@ def one(spark, col, *values, ddl="s string"):
     return spark.createDataFrame([values], ddl).select(col).first()[0]
 
 
-@pytest.mark.parametrize(
-    "kind, text, want",
-    [
-        ("integer", "That gives <answer> 815 </answer> in total", "815"),
-        ("integer", "hence \\boxed{64} apples", "64"),
-        ("integer", "the answer: 19", "19"),
-        ("integer", "<Answer>1</Answer> <answer> -2 </answer> Answer: 9", "-2"),
-        ("integer", "**Final Answer**： `55`", "55"),
-        ("integer", "nothing", None),
-        ("letter", "I pick <answer>D</answer>!", "D"),
-        ("letter", "it must be \\boxed{A}, surely", "A"),
-        ("letter", "answer d", "D"),
-        ("letter", "answer Abc", None),
-        ("code", "```python\nprint(1)\n```", "print(1)"),
-        ("code", "```py\na\n``` and ```\nb\n```", "b"),
-        ("latex", "a \\boxed{a^{x}} z", "a^{x}"),
-        ("latex", "\\boxed{1} then \\boxed{2}", "2"),
-        ("latex", "hence \\boxed{\\frac{7}{\\sqrt{8}}} metres", "\\frac{7}{\\sqrt{8}}"),
-        ("latex", "adding up.\n\n$$\\frac{3}{41}$$", "\\frac{3}{41}"),
-        ("latex", "which leaves \\[\\frac{88}{9}\\]", "\\frac{88}{9}"),
-        ("latex", "Answer is $31$", "31"),
-        ("latex", "the result is $\\tan\\beta = \\frac{5}{4}$", "\\frac{5}{4}"),
-        ("latex", "No case is left over.\n\n73", "73"),
-        ("latex", "here $\\rho$ stands inside the sentence.", None),
-    ],
-)
-def test_extract(spark, kind, text, want):
-    assert one(spark, X.extract_answer(F.lit(kind), F.col("s")), text) == want
-
-
-@pytest.mark.parametrize(
-    "gold, pred, want",
-    [
-        ("58", "58", True),
-        ("\\frac{3}{8}", "0.375", True),
-        ("\\frac{3}{8}", "0.38", False),
-        ("3\\sqrt{7}", "\\sqrt{63}", True),
-        ("\\frac{4+\\sqrt{5}}{3}, \\frac{4-\\sqrt{5}}{3}", "\\frac{4\\pm\\sqrt{5}}{3}", True),
-        ("3^{4} \\cdot 5!", "5! \\times 3^{4}", True),
-        ("7/12", "\\dfrac{7}{12}", True),
-        ("4, 9, 6", "9, 6, 4", True),
-        ("4, 9", "4", False),
-        ("\\sqrt[3]{27}", "3", True),
-        ("2\\pi", "6.283", True),
-        ("\\text{yes}", "\\text{no}", None),
-    ],
-)
-def test_latex(gold, pred, want):
-    assert LX._same(gold, pred) is want
+# --- answers in every style, generated with the value that has to come out ---------------------
+
+BLANKS = ["", " ", "  ", "\n", "\t "]
+BEFORE_IT = ["", "We multiply, then add. ", "Case 2 fails.\n\n"]
+AFTER_IT = ["", " as claimed", "\nDone."]
+INTEGER_STYLES = ["<answer>{b}{v}{b}</answer>", "<Answer>{b}{v}{b}</Answer>", "\\boxed{{{b}{v}{b}}}", "\\answer{{{v}}}", "Answer:{b}{v}", "**Final answer**:{b}`{v}`", "final answer： ({v})"]
+LETTER_STYLES = ["<answer>{b}{v}{b}</answer>", "\\boxed{{{b}{v}{b}}}", "\\answer{{{v}}}", "answer: {v}", "answer {v}", "*Final Answer*: \"{v}\""]
+
+
+def styled(draw, styles, value):
+    text = draw.choice(styles).format(b=draw.choice(BLANKS), v=value)
+    return draw.choice(BEFORE_IT) + text + draw.choice(AFTER_IT)
+
+
+def nested(draw, depth):
+    """Braces in braces, as in a formula."""
+    if not depth:
+        return str(draw.randint(2, 99))
+    name = draw.choice(["\\sqrt", "\\frac{7}", "r^", "s_"])
+    return f"{name}{{{nested(draw, depth - 1)}}}" + draw.choice(["", f"+{draw.randint(2, 9)}"])
+
+
+def extracted(spark, cases):
+    """Answers of (kind, text) cases, in one pass."""
+    table = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, kind string, s string")
+    rows = table.select("i", "kind", "s", *[X.extract_answer(F.lit(k), F.col("s")).alias(k) for k in ("integer", "letter", "code", "latex")]).collect()
+    return [r[r["kind"]] for r in sorted(rows, key=lambda r: r["i"])]
+
+
+def test_integers_and_letters_in_every_style(spark):
+    draw = random.Random(11)
+    cases, want = [], []
+    for _ in range(150):
+        n = draw.randint(-500, 10**6)
+        cases.append(("integer", styled(draw, INTEGER_STYLES, n)))
+        want.append(str(n))
+        letter = draw.choice("ABCD")
+        cases.append(("letter", styled(draw, LETTER_STYLES, letter)))
+        want.append(letter)
+    assert extracted(spark, cases) == want
+
+
+def test_earlier_styles_go_before_later_ones_and_the_last_of_a_style_counts(spark):
+    cases, want = [], []
+    for k in range(0, 40, 4):
+        tagged, boxed, said = f"<answer>{k}</answer>", f"\\boxed{{{k + 1}}}", f"Answer: {k + 2}"
+        for order in permutations([tagged, boxed, said]):
+            cases.append(("integer", " and ".join(order)))
+            want.append(str(k))
+        cases += [("integer", f"{said} but {boxed}"), ("integer", f"{tagged} then <answer>{k + 3}</answer>"), ("integer", f"only {k} is written"), ("letter", f"answer {chr(69 + k % 20)}")]
+        want += [str(k + 1), str(k + 3), None, None]
+    assert extracted(spark, cases) == want
+
+
+def test_code_blocks(spark):
+    cases, want = [], []
+    for k in range(20):
+        body = "\n".join(f"v{i} = {i * k}" for i in range(k % 4 + 1))
+        for fence in ("python", "py", ""):
+            cases += [("code", f"see\n```{fence}\n{body}\n```\nend"), ("code", f"```{fence}\nold = 1\n```\nbetter:\n```{fence}\n{body}\n```")]
+            want += [body, body]
+    assert extracted(spark, cases) == want
+
+
+def test_boxes_of_any_depth_and_the_unboxed_forms(spark):
+    draw = random.Random(12)
+    cases, want = [], []
+    for k in range(120):
+        inner = nested(draw, k % 5)
+        cases += [
+            ("latex", f"{draw.choice(BEFORE_IT)}\\boxed{{{inner}}}{draw.choice(AFTER_IT)}"),
+            ("latex", f"first \\boxed{{{k}}}, at last \\boxed{{{inner}}} ."),
+            ("latex", f"so we are left with\n\n$${inner}$$"),
+            ("latex", f"so we are left with \\[ {inner} \\]"),
+            ("latex", f"and $\\kappa_{k % 7} = {inner}$."),
+            ("latex", f"Nothing else remains.\n\n{k}"),
+            ("latex", f"while $\\kappa$ has {k} more words behind it here."),
+        ]
+        want += [inner, inner, inner, inner, inner, str(k), None]
+    assert extracted(spark, cases) == want
+
+
+def test_latex_values(spark):
+    draw = random.Random(13)
+    pairs = []
+    for _ in range(60):
+        n, d, r = draw.randint(2, 40), draw.randint(2, 9), draw.choice([2, 3, 5, 11])
+        pairs += [
+            (f"\\frac{{{n}}}{{{d}}}", f"{n / d:.7f}", True), (f"\\frac{{{n}}}{{{d}}}", f"{n / d + 0.05 * n:.5f}", False), (f"{n}\\sqrt{{{r}}}", f"\\sqrt{{{n * n * r}}}", True),
+            (f"{n}/{d}", f"\\dfrac{{{2 * n}}}{{{2 * d}}}", True), (f"{n}, {n + d}, 1", f"1, {n}, {n + d}", True), (f"{n}, {n + d}", f"{n}", False), (f"\\sqrt[3]{{{n**3}}}", f"{n}", True),
+            (f"{d}! \\cdot {n}^{{2}}", f"{n}^2 \\times {d}!", True), (f"\\text{{case {n}}}", f"{n}@", None),
+        ]
+    table = spark.createDataFrame(pairs, "g string, p string, want boolean")
+    rows = LX.grade_latex(table, "p", "g").collect()
+    assert len(rows) == len(pairs)
+    assert all((None if r["correct_unread"] else r["correct"]) is r["want"] for r in rows)
 
 
 def test_grade_latex_grades_pairs_once_and_keeps_rows(spark):
