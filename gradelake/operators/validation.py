@@ -2,23 +2,28 @@
 
 The resampling indices are those of numpy's legacy generator reseeded for every call, so equal group
 sizes share one index matrix. Ordinary groups are resampled as arrays inside Arrow batches; a group
-larger than ``array_limit`` never becomes an array: its indices are joined row by row and reduced with
-ordinary aggregates, which gives the same numbers.
+larger than ``array_limit`` never becomes an array: its indices are drawn by many tasks, joined row by row and
+reduced with ordinary aggregates, which gives the same numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradelake.functions import twister
 from gradelake.operators.groups import join_group_stats, position_in_group
+from gradelake.session import checkpoint
 
 ARRAY_LIMIT = 2048
+#: Raw numbers of one task, and draws of one group that are joined as one part.
+RAW_BLOCK = 1 << 22
+PART = 1 << 20
 _POINT = T.ArrayType(
     T.StructType([T.StructField("n", T.LongType()), T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType())])
 )
@@ -90,28 +95,72 @@ def _small_groups(groups: DataFrame, keys: Sequence[str], has_votes: bool, boots
     return groups.select(*keys, F.explode(points).alias("p")).select(*keys, "p.n", "p.metric", "p.value")
 
 
-def draw_indices(sizes: DataFrame, boots: int, seed: int, chunk: int = 1 << 20) -> DataFrame:
-    """(total, n, boot, k, idx) rows for every (total, n) pair, streamed in chunks."""
+def draw_indices(sizes: DataFrame, boots: int, seed: int, chunk: int = RAW_BLOCK) -> DataFrame:
+    """(total, n, boot, k, idx, part) rows of numpy's stream for every (total, n) pair, drawn by many tasks.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    All sizes of one total read the same stream. It is cut into blocks of raw numbers; each task jumps to its block. The
+    generator drops raw numbers beyond the total, so what blocks keep is counted first, which says where each begins.
+    """
+    streams = sizes.groupBy("total").agg(F.max("n").alias("n_max"), F.sort_array(F.collect_set("n")).alias("ns"))  # a ladder is short
+    streams = checkpoint(streams)
+    raw = F.lit(boots) * F.col("n_max") * F.pow(F.lit(2.0), F.ceil(F.log2("total"))) / F.col("total")
+    slack = 8.0
+    while True:
+        blocks = F.ceil((raw + slack * F.sqrt(raw) + 64) / chunk)
+        rows = streams.select("total", "n_max", "ns", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                batch["kept"] = [len(twister.accepted(seed, b, chunk, t)) for b, t in zip(batch["block"], batch["total"])]
+                yield batch
+
+        counted = rows.repartition("total", "block").mapInPandas(count, "total long, n_max long, ns array<long>, block long, kept long")
+        counted = checkpoint(counted)
+        short = counted.groupBy("total", "n_max").agg(F.sum("kept").alias("kept")).where(F.col("kept") < F.lit(boots) * F.col("n_max"))
+        if short.isEmpty():
+            break
+        slack *= 8
+    # one row per block of raw numbers
+    before = Window.partitionBy("total").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("start", F.coalesce(F.sum("kept").over(before), F.lit(0)))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for total, n in batch[["total", "n"]].itertuples(index=False):
-                gen = np.random.RandomState(seed)
-                for start in range(0, boots * n, chunk):
-                    at = np.arange(start, min(start + chunk, boots * n))
-                    yield pd.DataFrame(
-                        {"total": total, "n": n, "boot": at // n, "k": at % n, "idx": gen.randint(0, total, size=len(at))}
-                    )
+            for total, ns, block, start in batch[["total", "ns", "block", "start"]].itertuples(index=False):
+                idx = twister.accepted(seed, block, chunk, total)
+                at = start + np.arange(len(idx))
+                for n in ns:
+                    asked = at < boots * n
+                    if asked.any():
+                        a = at[asked]
+                        yield pd.DataFrame({"total": total, "n": n, "boot": a // n, "k": a % n, "idx": idx[asked], "part": a // PART})
+
+    return placed.repartition("total", "block").mapInPandas(draw, "total long, n long, boot long, k long, idx long, part long")
+
+
+def _numpy_draws(groups: DataFrame, boots: int, seed: int) -> DataFrame:
+    draws = draw_indices(groups.select("total", "n").distinct(), boots, seed)
+    return _in_parts(groups, boots).join(draws, ["total", "n", "part"])
+
 
-    return sizes.repartition("total", "n").mapInPandas(run, "total long, n long, boot long, k long, idx long")
+def _in_parts(groups: DataFrame, boots: int) -> DataFrame:
+    """A row per part of a group's draws, so that the draws of one size are spread over tasks."""
+    return groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.lit(boots) * F.col("n") - 1) / PART))))
 
 
-def _large_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], has_votes: bool, boots: int, seed: int) -> DataFrame:
+def counter_draws(groups: DataFrame, boots: int, seed: int) -> DataFrame:
+    """Indices that follow from seed, sizes and place alone, by md5: any task, or SQL, draws any of them."""
+    parts = _in_parts(groups, boots)
+    last = F.least((F.col("part") + 1) * PART, F.lit(boots) * F.col("n")) - 1
+    rows = parts.withColumn("at", F.explode(F.sequence(F.col("part") * PART, last)))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "total", "n", "at")), 1, 12), 16, 10).cast("bigint")
+    return rows.withColumns({"boot": F.floor(F.col("at") / F.col("n")), "k": F.col("at") % F.col("n"), "idx": drawn % F.col("total")}).drop("at")
+
+
+def _joined_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], has_votes: bool, boots: int, seed: int, draws: Callable) -> DataFrame:
     placed = position_in_group(rows.drop("group_n"), keys, order, "idx").withColumnRenamed("group_n", "total")
     groups = placed.groupBy(*keys).agg(F.first("total").alias("total")).withColumn("n", F.explode(ladder_column(F.col("total"))))
-    draws = draw_indices(groups.select("total", "n").distinct(), boots, seed)
-    wanted = groups.join(draws, ["total", "n"])
-    picked = wanted.join(placed.drop("total"), [*keys, "idx"])
+    picked = draws(groups, boots, seed).drop("total", "part").join(placed.drop("total"), [*keys, "idx"])
     per_boot = picked.groupBy(*keys, "n", "boot").agg(F.max("val").alias("best"), F.min("val").alias("worst"))
     names = ["best", "worst"]
     if has_votes:
@@ -139,17 +188,23 @@ def bootstrap(
     seed: int = 42,
     array_limit: int = ARRAY_LIMIT,
     hot_rows: int | None = None,
+    generator: str = "numpy",
 ) -> DataFrame:
-    """(keys, n, metric, value): best/worst/majority at every ladder size, mean and std over resamples."""
+    """(keys, n, metric, value): best/worst/majority at every ladder size, mean and std over resamples.
+
+    ``generator``: numpy's numbers, or ``counter`` (see ``counter_draws``), where no number depends on another.
+    """
     cols = [*[F.col(k) for k in keys], *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(value).cast("double").alias("val")]
     if vote is not None:
         cols.append(F.col(vote).alias("vote"))
     names = [f"_o{i}" for i in range(len(order))]
     sized = join_group_stats(samples.select(*cols), keys, [], hot_rows).where("group_n > 1")
+    if generator == "counter":
+        return _joined_groups(sized, keys, names, vote is not None, boots, seed, counter_draws)
     small = sized.where(F.col("group_n") <= array_limit)
     packed = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names, *[c for c in ("val", "vote") if c in small.columns]))).alias("s"))
     few = _small_groups(packed, keys, vote is not None, boots, seed)
-    many = _large_groups(sized.where(F.col("group_n") > array_limit), keys, names, vote is not None, boots, seed)
+    many = _joined_groups(sized.where(F.col("group_n") > array_limit), keys, names, vote is not None, boots, seed, _numpy_draws)
     return few.unionByName(many)
 
 

@@ -66,6 +66,26 @@ def _(spark, sf):
     return V.validation_metrics(_samples(spark, sf), "source", "uid", ["doc_id"], ["acc", "reward"], "pred")
 
 
+@query(
+    "ag15_ag17_counter_bootstrap",
+    VAL_SQL
+    + """, r AS (SELECT source, uid, acc, pred, row_number() OVER (PARTITION BY source, uid ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source, uid) AS total FROM s),
+    g AS (SELECT DISTINCT source, uid, total FROM r WHERE total > 1),
+    k AS (SELECT g.*, j.n FROM g, LATERAL (SELECT pow(2, i)::BIGINT AS n FROM generate_series(1, 40) q(i) WHERE pow(2, i) < g.total UNION SELECT g.total) j),
+    d AS (SELECT source, uid, total, n, unnest(range(100 * n)) AS i FROM k),
+    e AS (SELECT *, ('0x' || left(md5('7|' || total || '|' || n || '|' || i), 12))::BIGINT % total AS idx FROM d),
+    pk AS (SELECT source, uid, n, i // n AS boot, i % n AS k, acc, pred FROM e JOIN r USING (source, uid, idx)),
+    v AS (SELECT source, uid, n, boot, pred, count(*) AS c, min(k) AS k0, arg_min(acc, k) AS v FROM pk GROUP BY ALL),
+    m AS (SELECT source, uid, n, boot, arg_max(v, (c, -k0)) AS maj FROM v GROUP BY ALL),
+    b AS (SELECT source, uid, n, boot, max(acc) AS best, min(acc) AS worst FROM pk GROUP BY ALL),
+    x AS (SELECT source, uid, n, unnest(['best', 'worst', 'maj']) AS name, unnest([best, worst, maj]) AS v FROM b JOIN m USING (source, uid, n, boot)),
+    y AS (SELECT source, uid, n, name, avg(v) AS a, stddev_pop(v) AS sd FROM x GROUP BY ALL)
+  SELECT source, uid, n, name || '@' || n || '/mean' AS metric, round(a, 6) AS value FROM y UNION ALL SELECT source, uid, n, name || '@' || n || '/std', round(sd, 6) FROM y""",
+)
+def _(spark, sf):
+    return _r(V.bootstrap(_samples(spark, sf), ["source", "uid"], ["doc_id"], "acc", "pred", boots=100, seed=7, generator="counter"), "value")
+
+
 @query(
     "ag16_resample_ladder",
     """WITH p AS (SELECT source, lang AS uid, count(*) AS n FROM documents GROUP BY ALL)

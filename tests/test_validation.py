@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from gradelake.functions import twister
 from gradelake.operators import validation as V
 
 
@@ -45,6 +46,40 @@ def test_index_stream_can_be_drawn_in_chunks(spark):
     assert [r.idx for r in rows] == want.ravel().tolist()
 
 
+@pytest.mark.parametrize("place", [0, 1, 623, 625, 20_000, 1_000_003, 3_000_000])
+def test_the_generator_can_begin_anywhere(place):
+    far = np.random.RandomState(9)
+    far.randint(0, 1 << 32, size=place, dtype=np.uint32)
+    got = twister.generator(9, place).randint(0, 1 << 32, size=1500, dtype=np.uint32)
+    assert np.array_equal(got, far.randint(0, 1 << 32, size=1500, dtype=np.uint32))
+
+
+@pytest.mark.parametrize("total", [2, 3, 64, 65, 1000, 70_001])
+def test_blocks_of_the_stream_follow_one_another(total):
+    got = np.concatenate([twister.accepted(5, b, 3000, total) for b in range(5)])
+    assert np.array_equal(got, np.random.RandomState(5).choice(total, size=len(got)))
+
+
+def test_streams_of_several_sizes_are_numpys(spark, monkeypatch):
+    monkeypatch.setattr(V, "PART", 64)
+    df = spark.createDataFrame([(t, n) for t in (2, 5, 33) for n in V.ladder(t)], "total long, n long")
+    rows = V.draw_indices(df, 40, 42, chunk=100).collect()
+    for t in (2, 5, 33):
+        for n in V.ladder(t):
+            mine = sorted((r.boot, r.k, r.idx, r.part) for r in rows if (r.total, r.n) == (t, n))
+            want = np.random.RandomState(42).choice(t, size=(40, n), replace=True)
+            assert [m[2] for m in mine] == want.ravel().tolist()
+            assert [m[3] for m in mine] == [i // 64 for i in range(40 * n)]
+
+
+def test_counter_draws_are_spread_evenly(spark):
+    groups = spark.createDataFrame([("g", 10, 8)], "uid string, total long, n long")
+    rows = V.counter_draws(groups, 5000, 3).groupBy("idx").count().collect()
+    counts = np.array([r["count"] for r in rows])
+    assert len(counts) == 10 and counts.sum() == 40_000
+    assert ((counts - 4000) ** 2 / 4000).sum() < 27.9  # chi-square, 9 degrees of freedom, 0.001
+
+
 def test_majority_ties_go_to_the_first_seen():
     vals, votes = np.array([0.9, 0.8, 0.7]), np.array([0, 1, 0])
     idx = np.array([[1, 0], [0, 1], [2, 0], [0, 1]])
