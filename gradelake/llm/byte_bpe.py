@@ -22,7 +22,8 @@ their own; other columns are ignored unless named in ``keep``; an empty table gi
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from gradelake.llm import common as C
 #: Fragments that one worker remembers; when full it starts again, so its memory is bounded.
 CACHE_FRAGMENTS = 1 << 18
 #: Bytes of one slice of a longer text.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
 #: What the tokenizer's pattern splits off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -79,8 +80,10 @@ class Codec:
         self.clear()
 
     def clear(self) -> None:
+        # a fragment's number, and its ids from start[number] to start[number + 1] of the flat array
         self.known = {text.encode(): k for k, text in enumerate(self.special)}
-        self.ids = [np.array([i], np.int32) for i in self.special.values()]
+        self.flat = array("i", self.special.values())
+        self.start = array("q", range(len(self.special) + 1))
 
     def _kinds(self, codes: np.ndarray) -> np.ndarray:
         """Class of each character, asking the tokenizer's pattern about those not met before."""
@@ -148,8 +151,9 @@ class Codec:
         letters = self.letters
         spelled = ["".join([letters[b] for b in f]) for f in fresh]
         for f, e in zip(fresh, self.model.encode_batch_fast(spelled, add_special_tokens=False)):
-            self.known[f] = len(self.ids)
-            self.ids.append(np.array(e.ids, np.int32))
+            self.known[f] = len(self.start) - 1
+            self.flat.extend(e.ids)
+            self.start.append(len(self.flat))
 
     def _encode_pieces(self, pieces: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all pieces and where those of each begin (one more at the end)."""
@@ -179,10 +183,8 @@ class Codec:
             self._learn([f for f in distinct if f not in self.known])
             if not all(map(self.known.__contains__, distinct)):  # it has started again
                 self._learn(distinct)
-        lists = [self.ids[self.known[f]] for f in distinct]
-        flat = np.concatenate(lists)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids, ends = _gather(flat, np.concatenate(([0], np.cumsum(sizes))), which)
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        ids, ends = _gather(np.frombuffer(self.flat, np.int32), np.frombuffer(self.start, np.int64), number[which])
         # number of ids before each fragment, at the fragments that begin a piece
         before = np.concatenate(([0], ends))
         at = before[np.searchsorted(begin, bounds)]
@@ -259,51 +261,67 @@ def codec(path: str) -> Codec:
     return _held[path]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``input_ids`` of every row."""
-    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)
+def _encoder(path: str) -> Callable:
+    """Batches (text, other columns) to batches (other columns, input_ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(path)
-        for batch in C.steps(batches, "text_"):
+        for batch in C.steps(batches, "text_", SLICE_BYTES):
             ids, at = known.encode(batch.column("text_").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], [*batch.schema.names[1:], "input_ids"])
 
-    return C.map_texts(docs.select(F.col(text).alias("text_"), *keep), run, f"{kinds}, input_ids array<int>")
+    return run
 
 
-def _lists(column: pa.Array) -> Iterator[np.ndarray]:
-    for row in column:
-        yield np.empty(0, np.int32) if not row.is_valid else row.values.to_numpy(zero_copy_only=False)
-
-
-def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and the ``text`` of every row of ``input_ids``."""
-    kinds = ", ".join(f"`{n}` {t}" for n, t in encoded.select(*keep).dtypes)
+def _per_list(path: str, names: list[str], made: Callable[[Codec, list[np.ndarray]], list[pa.Array]]) -> Callable:
+    """Batches with input_ids to batches of the other columns and those ``made`` of the lists of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(path)
         for batch in batches:
-            texts = pa.array([known.decode(ids) for ids in _lists(batch.column(0))], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], texts], [*batch.schema.names[1:], "text"])
+            others = [n for n in batch.schema.names if n != "input_ids"]
+            rows = [row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.empty(0, np.int32) for row in batch.column("input_ids")]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, others), *made(known, rows)], [*others, *names])
+
+    return run
+
+
+def _texts(known: Codec, rows: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array(map(known.decode, rows), pa.string())]
+
+
+def _sums(known: Codec, rows: list[np.ndarray]) -> list[pa.Array]:
+    return [
+        pa.array(map(len, rows), pa.int64()),
+        pa.array([hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in rows], pa.string()),
+        pa.array([hashlib.sha256(known.decode(r).encode()).hexdigest() for r in rows], pa.string()),
+    ]
+
+
+_SUMS = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
-    return C.map_texts(encoded.select("input_ids", *keep), run, f"{kinds}, text string")
+
+def _kinds(rows: DataFrame, keep: tuple[str, ...]) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes)
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` and ``input_ids`` of every row."""
+    return C.map_texts(docs.select(F.col(text).alias("text_"), *keep), _encoder(path), f"{_kinds(docs, keep)}, input_ids array<int>")
+
+
+def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` and the ``text`` of every row of ``input_ids``."""
+    return C.map_texts(encoded.select("input_ids", *keep), _per_list(path, ["text"], _texts), f"{_kinds(encoded, keep)}, text string")
 
 
 def digests(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row of ``input_ids``: n_tokens, SHA-256 of the ids as 32-bit integers and of the decoded text."""
-    kinds = ", ".join(f"`{n}` {t}" for n, t in encoded.select(*keep).dtypes)
+    return C.map_texts(encoded.select("input_ids", *keep), _per_list(path, _SUMS, _sums), f"{_kinds(encoded, keep)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = codec(path)
-        for batch in batches:
-            rows = list(_lists(batch.column(0)))
-            found = [
-                pa.array([len(r) for r in rows], pa.int64()),
-                pa.array([hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in rows], pa.string()),
-                pa.array([hashlib.sha256(known.decode(r).encode()).hexdigest() for r in rows], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found], [*batch.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return C.map_texts(encoded.select("input_ids", *keep), run, f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``digests(encode(docs))`` in one Python worker a task, which the ids never leave."""
+    first, second = _encoder(path), _per_list(path, _SUMS, _sums)
+    return C.map_texts(docs.select(F.col(text).alias("text_"), *keep), lambda b: second(first(b)), f"{_kinds(docs, keep)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

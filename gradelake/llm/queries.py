@@ -67,8 +67,7 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path(BYTE_TOKENIZER)
-    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER))
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,7 @@ def test_tables(make, spark, odd):
     sums = sorted((tuple(r) for r in B.digests(encoded, PATH).collect()), key=key)
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert sums == sorted(((i, len(w), sha(np.array(w, "<u4").tobytes()), sha((t or "").encode())) for (i, t), w in zip(rows, want([r[1] for r in rows]))), key=key)
+    assert sorted((tuple(r) for r in B.round_trip(docs, PATH).collect()), key=key) == sums
     assert B.encode(docs.limit(0), PATH).collect() == []
     nothing = spark.createDataFrame([(1, None)], "doc_id bigint, input_ids array<int>")
     assert B.digests(nothing, PATH).first()["n_tokens"] == 0
