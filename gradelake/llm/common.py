@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,41 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 STEP_BYTES = 1 << 20
 #: Rows that Spark hands to Python at once: texts are long, and a batch is held whole.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
+
+
+#: Where the names of new folders are noted, while somebody asks for them.
+_noted: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names, which every executor can reach."""
     _ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    for names in _noted:
+        names.append(path)
+    return path
+
+
+@contextmanager
+def noted_folders(names: list[str]) -> Iterator[None]:
+    """Notes the folders that are made inside in ``names``."""
+    _noted.append(names)
+    try:
+        yield
+    finally:
+        _noted.remove(names)
+
+
+def release(names: list[str], but: DataFrame) -> None:
+    """Delete noted folders, but those whose files ``but`` reads; the others leave the list."""
+    files = but.inputFiles() if names else []
+    used = [n for n in names if any(f"/{n.rsplit('/', 1)[-1]}/" in f for f in files)]
+    context = but.sparkSession.sparkContext
+    for name in set(names) - set(used):
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    names[:] = used
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,11 +66,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder whose files are buckets of ``key``: joins on it do not shuffle it."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def map_texts(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with batches small enough for rows of text; a smaller setting of the session stays."""
     conf = rows.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # bytes as Spark writes them, such as 64m or 256MB, or none
+    size = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").strip().lower().removesuffix("b")
+    at_most = int(size) if size.lstrip("-").isdigit() else BATCH_BYTES + 1
+    if not 0 < at_most <= BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return rows.mapInArrow(function, schema)
 
 

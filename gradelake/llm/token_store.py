@@ -6,9 +6,10 @@ follows from one sum per shard. The files are written by Spark's own Parquet wri
 task), with version-2 pages: integers and list levels are delta- or run-length coded, strings use dictionaries, and each
 column chunk has a page index. Reading metadata touches no token page; reading a few documents by id uses the page index.
 
-Words are encoded once per worker and then looked up, which gives exactly the ids of encoding the whole text: the
-tokenizer never joins anything across a blank, nor letters and signs. Words of plain letters or signs are lower-cased
-here and go to the tokenizer in long lines; every other word goes through all its steps on its own.
+Words are encoded once per worker and then looked up, which gives exactly the ids of encoding the whole text. Latin-1
+texts are cut into the words of the tokenizer's pattern on arrays of all characters of a step (runs of letters or of
+signs, single numbers, contractions); each different word of a step is looked up once, and new ones go to the model in
+long lines. Texts with other characters or with the marks of a special token go through the whole tokenizer.
 
 Defined cases: a null or empty text has the end id only; null ids come first; rows with equal ids are ordered by text,
 and rows that are equal in both are interchangeable; other columns are not stored unless named in ``meta``.
@@ -16,11 +17,10 @@ and rows that are equal in both are interchangeable; other columns are not store
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +32,25 @@ from gradelake.llm import common as C
 
 END_ID = 2
 #: Words that one worker remembers; when full it starts again, so its memory is bounded.
-CACHE_WORDS = 3 << 16
+CACHE_WORDS = 1 << 18
+#: Bytes of text that one step works on; a longer document is a step of its own.
+STEP_BYTES = 1 << 20
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(f"([{_LETTERS}]+)?([!#$%&()*+,./:;<=>?@^_`{{|}}~-]+)?")
-_BLANKS = re.compile("[ \t\n\r]+")
-_END = "\n"
 #: Words that go to the tokenizer in one call.
 _LINE, _LINES = 512, 16
+LETTER, NUMBER, BLANK, SIGN = range(4)
+#: What the tokenizer's pattern splits off after an apostrophe.
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 class Encoder:
     """ids of words, remembered. ``path``: a tokenizers file whose words end with ``</w>``."""
 
     def __init__(self, path: str, end_id: int = END_ID):
+        # a task has one core; threads would only hold memory of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -60,93 +63,126 @@ class Encoder:
             self.ends[i] = token.endswith("</w>")
         # texts with the first two characters of a special token take the longer way
         self.marks = {a.content[:2] for a in self.whole.get_added_tokens_decoder().values()}
+        self.kinds = np.array([self._kind(chr(c)) for c in range(256)], np.uint8)
         self.end_id = end_id
         self.clear()
 
+    def _kind(self, ch: str) -> int:
+        """Class of a character, as the tokenizer's own pattern tells."""
+        words = self.whole.pre_tokenizer.pre_tokenize_str
+        if not words(ch) or ch.isspace() and not words(self.whole.normalizer.normalize_str(ch)):
+            return BLANK
+        if len(words(ch + ch)) == 2:
+            return NUMBER
+        return LETTER if len(words("a" + ch)) == 1 else SIGN
+
     def clear(self) -> None:
-        self.place: dict[str, int] = {_END: 0}
-        self.flat = array("i", [self.end_id])
-        self.start = array("i", [0, 1])
-
-    def _append(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        at = len(self.start) - 1
-        self.place.update(zip(words, range(at, at + len(words))))
-        self.start.frombytes((ends + len(self.flat)).astype(np.int32).tobytes())
-        self.flat.frombytes(ids.astype(np.int32).tobytes())
-
-    def _bulk(self, words: list[str]) -> None:
-        """Words of letters only or of signs only: each ends with exactly one word-end token."""
+        self.place: dict[bytes, int] = {}
+        self.flat = array("i")
+        self.start = array("i", [0])
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remember words that are not known yet; each ends with exactly one word-end token."""
         for i in range(0, len(words), _LINE * _LINES):
             part = words[i : i + _LINE * _LINES]
-            lines = [" ".join(part[k : k + _LINE]).lower() for k in range(0, len(part), _LINE)]
+            lines = [b" ".join(part[k : k + _LINE]).decode("latin-1") for k in range(0, len(part), _LINE)]
             ids = np.concatenate([np.array(e.ids, np.int32) for e in self.lean.encode_batch_fast(lines, add_special_tokens=False)])
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
                 raise ValueError("a word does not end with one word-end token")
-            self._append(part, ids, cuts)
-
-    def learn(self, words: set[str]) -> None:
-        """Remember words that are not known yet."""
-        fresh, double, other = set(), [], []
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            letters, signs = m.groups() if m and w else (None, None)
-            if not (letters or signs) or signs and any(k in signs for k in self.marks):
-                other.append(w)
-            else:
-                if letters and signs:
-                    double.append((w, letters, signs))
-                    fresh.add(letters)
-                    fresh.add(signs)
-                else:
-                    fresh.add(w)
-        self._bulk([w for w in fresh if w not in self.place])
-        flat, start, place = self.flat, self.start, self.place
-        for w, letters, signs in double:
-            a, b = place[letters], place[signs]
-            place[w] = len(start) - 1
-            flat.extend(flat[start[a] : start[a + 1]])
-            flat.extend(flat[start[b] : start[b + 1]])
-            start.append(len(flat))
-        for i in range(0, len(other), _LINE):
-            part = other[i : i + _LINE]
-            found = [np.array(e.ids, np.int32) for e in self.whole.encode_batch_fast(part, add_special_tokens=False)]
-            self._append(part, np.concatenate(found), np.cumsum([len(f) for f in found]))
-
-    def _words(self, text: str) -> list[str]:
-        if not any(k in text for k in self.marks):
-            try:
-                if not text.isascii():
-                    text.encode("latin-1")
-                # lower-casing here is what the tokenizer does to these characters one by one
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        words = _BLANKS.split(text) if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
-        words.append(_END)
-        return words
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all texts, each with the end id, and where each text begins."""
-        words = [self._words(t) for t in texts]
-        every = set().union(*words)
-        new = every - self.place.keys()
+            at = len(self.start) - 1
+            self.place.update(zip(part, range(at, at + len(part))))
+            self.start.frombytes((cuts + len(self.flat)).astype(np.int32).tobytes())
+            self.flat.frombytes(ids.tobytes())
+
+    def _words(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of each word of lower-cased Latin-1 texts that begin at ``starts``."""
+        n = len(data)
+        kind = self.kinds[data]
+        first = np.zeros(n + 4, bool)
+        first[starts[starts < n]] = True
+        first[n:] = True
+        cut = first[: n + 1].copy()
+        cut[1:n] |= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        at = np.flatnonzero((data == 0x27) & cut[:n])
+        ahead = np.concatenate((data, np.zeros(3, np.uint8)))
+        free = np.ones(len(at), bool)
+        for tail in CONTRACTIONS:
+            hit = free.copy()
+            for j, c in enumerate(tail, 1):
+                hit &= (ahead[at + j] == ord(c)) & ~first[at + j]
+            free &= ~hit
+            cut[at[hit] + 1] = False
+            cut[at[hit] + 1 + len(tail)] = True
+        bounds = np.flatnonzero(cut)
+        inside = kind[bounds[:-1]] != BLANK
+        return bounds[:-1][inside], bounds[1:][inside]
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of Latin-1 texts without special tokens, and where those of each end."""
+        # lower-casing here is what the tokenizer does to these characters one by one, and they are in normal form
+        raw = "".join(texts).lower().encode("latin-1")
+        ends = np.cumsum([len(t) for t in texts])
+        if not raw:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(raw, np.uint8)
+        begin, end = self._words(data, np.concatenate(([0], ends[:-1])))
+        _, one, which = np.unique(C.span_hashes(data, begin, end), return_index=True, return_inverse=True)
+        same = np.flatnonzero((end - begin) != (end - begin)[one][which])
+        if len(same) or not _equal(data, begin, end, one[which]):
+            raise ValueError("two words of one hash")
+        words = [raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist())]
+        new = [w for w in words if w not in self.place]
         if new:
             if len(self.place) + len(new) > CACHE_WORDS:
                 self.clear()
-                new = every - self.place.keys()
+                new = words
             self.learn(new)
-        # the words of one step are few: a small table of them is quicker to look up than the large one
-        here = dict(zip(every, map(self.place.__getitem__, every)))
-        at = np.fromiter(map(here.__getitem__, chain.from_iterable(words)), np.int32)
-        first = np.frombuffer(self.start, np.int32)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[which]
+        first = np.frombuffer(self.start, np.int32).astype(np.int64)
         size = first[at + 1] - first[at]
-        ends = np.cumsum(size, dtype=np.int64)
-        each = np.repeat(first[at] - (ends - size), size)
+        upto = np.cumsum(size)
+        each = np.repeat(first[at] - (upto - size), size)
         each += np.arange(len(each))
-        ids = np.frombuffer(self.flat, np.int32)[each]
-        last = np.cumsum([len(w) for w in words])
-        return ids, np.concatenate(([0], ends[last - 1] if len(last) else np.empty(0, np.int64))).astype(np.int64)
+        ids = np.frombuffer(self.flat, np.int32)[each] if len(each) else np.empty(0, np.int32)
+        upto = np.concatenate(([0], upto))
+        return ids, upto[np.searchsorted(begin, ends)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, each with the end id, and where each text begins."""
+        plain = np.array([self._is_plain(t) for t in texts], bool)
+        ids, ends = self._encode_plain([t for t, p in zip(texts, plain) if p])
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[plain] = np.diff(ends, prepend=0)
+        others = [np.array(e.ids, np.int32) for e in self.whole.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)]
+        sizes[~plain] = [len(o) for o in others]
+        at = np.concatenate(([0], np.cumsum(sizes + 1)))
+        out = np.full(at[-1], self.end_id, np.int32)
+        of_plain = np.repeat(plain, sizes + 1)
+        of_plain[at[1:] - 1] = False
+        out[of_plain] = ids
+        for k, found in zip(np.flatnonzero(~plain), others):
+            out[at[k] : at[k] + len(found)] = found
+        return out, at
+
+    def _is_plain(self, text: str) -> bool:
+        if any(k in text for k in self.marks):
+            return False
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+
+def _equal(data: np.ndarray, begin: np.ndarray, end: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each span has the bytes of the span it stands for; their lengths are equal."""
+    size = end - begin
+    upto = np.cumsum(size)
+    step = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - size, size)
+    return bool(np.array_equal(data[np.repeat(begin, size) + step], data[np.repeat(begin[like], size) + step]))
 
 
 #: The encoder of this Python worker: a worker runs many tasks, and what it has learned serves all of them.
@@ -168,7 +204,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, meta: list[str] | None =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shard, before = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        for batch in C.steps(batches, limit=C.STEP_BYTES // 2):
+        for batch in C.steps(batches, limit=STEP_BYTES):
             ids, at = words.encode(["" if t is None else t for t in batch.column("text").to_pylist()])
             size = np.diff(at)
             start = before + at[:-1]
@@ -198,7 +234,7 @@ def starts(stored: DataFrame) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     # one row per file of the store
     offsets = sums.select(F.col("shard").alias("shard_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset_"))
-    return stored.join(offsets, F.col("shard") == F.col("shard_")).withColumn("start", F.col("offset_") + F.col("shard_start")).drop("shard_", "offset_")
+    return stored.join(F.broadcast(offsets), F.col("shard") == F.col("shard_")).withColumn("start", F.col("offset_") + F.col("shard_start")).drop("shard_", "offset_")
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,9 +248,16 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """Per stored document: doc_id, start, n_tokens and ids_crc32, the last two from the ids that are read."""
-    heads = starts(stored)
-    return C.map_texts(heads.select("doc_id", "start", "input_ids"), _checksums, f"doc_id {dict(stored.dtypes)['doc_id']}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    """Per stored document: doc_id, start, n_tokens and ids_crc32, the last two from the ids that are read.
+
+    The lists are read and summed first, so that no list is ever joined.
+    """
+    heads = "shard int, shard_start bigint, n_tokens bigint, ids_crc32 bigint"
+    sums = C.map_texts(stored.select("doc_id", "shard", "shard_start", "input_ids"), _checksums, f"doc_id {dict(stored.dtypes)['doc_id']}, {heads}")
+    sizes = starts(stored.select("shard", "n_tokens", F.lit(0).alias("shard_start")).groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"), F.min("shard_start").alias("shard_start")))
+    offsets = sizes.select(F.col("shard").alias("shard_"), F.col("start").alias("offset_"))
+    rows = sums.join(F.broadcast(offsets), F.col("shard") == F.col("shard_"))
+    return rows.select("doc_id", (F.col("offset_") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def store(docs: DataFrame, tokenizer: str, meta: list[str] | None = None) -> DataFrame:
