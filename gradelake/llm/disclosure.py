@@ -2,16 +2,22 @@
 
 Fixed patterns find the protected entities (addresses, numbers). Terms that stand near an entity may reveal it although
 they match no pattern; how strongly is estimated from the corpus. With N documents, a term t discloses an entity e to
-the degree PMI(e; t) / IC(e), where ``PMI = log2(N df(e, t) / (df(e) df(t)))`` and ``IC(e) = log2(N / df(e))``: 1 if the
-term stands nowhere but with the entity. A pair that one context alone shows (copies of one context count once) weighs
-less: its joint count is 1 over the number of different contexts of the entity, and df(t) is taken one higher. Terms at
-or above ``DISCLOSES`` are spans of kind ``term`` in the documents that hold the entity. All counts are over all documents. Sanitised text puts a class name for entities, and generalises
-terms to their shape class or removes them.
+the degree PMI(e; t) / IC(e), where ``PMI = log2(N n(e, t) / (n(e) n(t)))`` and ``IC(e) = log2(N / n(e))``: 1 if the
+term stands nowhere but with the entity. The unit of n(e) and n(e, t) is a different context: the set of terms near the
+entity in one document. Exact copies, and near copies that agree around the entity, are one unit, in n(t) as well: n(t)
+is the number of documents with the term that do not show the pair, plus the units of the pair. A pair that one unit
+alone shows weighs less: n(e, t) is 1 / n(e), and n(t) is taken one higher. Terms at or above ``DISCLOSES`` are spans of
+kind ``term`` wherever they stand in a document that shows the pair. All counts are over all documents. Sanitised text
+puts a class name for entities, and generalises terms to their shape class or removes them.
+
+A term is a run of two letters or digits and more, without case. Near are the ``NEAR`` blank-separated words on each
+side, counted from the entity, whatever their length.
 
 Documents without an entity are left as they are. Positions are code points, ends exclusive. Kinds in order: email, ip,
 card, phone, term.
 
-Defined cases: a null or empty text has no spans; rows with equal ids are read one by one; an empty table gives no
+Defined cases: a null or empty text has no spans; a term that touches an entity is no span; equal degrees at the
+threshold all count; rows with equal ids are read one by one; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -19,7 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,7 +39,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSES = 0.8
 #: Words on each side of an entity that count as its context.
 NEAR = 25
-TERM_LEAST = 3
+TERM_LEAST = 2
 
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,7 +48,8 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_WORD = re.compile(r"[^\W\d_]+")
+_TERM = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"\S+")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -94,11 +103,19 @@ def parsed(spans: str) -> list[tuple[int, int, int]]:
     return [(KINDS.index(k), int(a), int(b)) for k, a, b in parts]
 
 
-def context(text: str, start: int, end: int) -> str:
-    """The ``NEAR`` words before and after a place, without the place."""
-    before = text[max(0, start - 40 * NEAR) : start].split()[-NEAR:]
-    after = text[end : end + 40 * NEAR].split()[:NEAR]
-    return " ".join([*before, "\n", *after])
+def near_terms(text: str, found: list[tuple[int, int, int]]) -> dict[str, set[str]]:
+    """Of every entity the terms among the ``NEAR`` words before and after its places. The text is cut once for all."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    terms = [m for m in _TERM.finditer(text) if m.end() - m.start() >= TERM_LEAST]
+    begins = [m.start() for m in terms]
+    out: dict[str, set[str]] = {}
+    for k, a, b in found:
+        first, last = bisect_left(starts, a) - NEAR, bisect_right(ends, b) + NEAR
+        low, high = starts[max(first, 0)], ends[min(last, len(ends)) - 1]
+        near = terms[bisect_left(begins, low) : bisect_left(begins, high)]
+        out.setdefault(entity_key(k, text[a:b]), set()).update(m[0].lower() for m in near if m.end() <= a or m.start() >= b)
+    return out
 
 
 def entity_key(kind: int, value: str) -> str:
@@ -107,56 +124,64 @@ def entity_key(kind: int, value: str) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.string())]))
+    kind = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
     for batch in C.steps(batches):
         counts = ([], [], [], [])
-        spans, shas, near = [], [], []
+        spans, shas, near, texts = [], [], [], []
         for text in batch.column("text").to_pylist():
             found = entities(text) if text else []
             for k in range(4):
                 counts[k].append(sum(s[0] == k for s in found))
             spans.append(joined(found))
             shas.append(hashlib.sha256(spans[-1].encode()).hexdigest())
-            near.append([{"entity": entity_key(k, text[a:b]), "context": context(text, a, b)} for k, a, b in found])
-        columns = [*(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(near, kind)]
-        names = [*batch.schema.names[1:], "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"]
+            near.append([{"entity": e, "terms": sorted(t)} for e, t in near_terms(text, found).items()] if found else [])
+            # later steps read no text but those with an entity
+            texts.append(text if found else None)
+        columns = [*(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(near, kind), pa.array(texts, pa.string())]
+        names = [*batch.schema.names[1:], "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near", "held"]
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names)
 
 
 def _terms(text: Column) -> Column:
-    runs = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
+    runs = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
     return F.filter(runs, lambda w: F.length(w) >= TERM_LEAST)
 
 
 def disclosing(docs: DataFrame, near: DataFrame, threshold: float = DISCLOSES) -> DataFrame:
-    """(entity, term, degree) of every pair at or above the threshold. ``near``: doc_id, row_, entity, context."""
+    """(entity, term, degree) of every pair at or above the threshold. ``near``: a row per document and entity, with its terms."""
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    near = near.withColumn("where_", F.xxhash64("context"))
-    held = near.groupBy("entity").agg(F.count_distinct("doc_id", "row_").alias("df_entity"), F.count_distinct("where_").alias("contexts"))
-    pairs = near.select("doc_id", "row_", "entity", "where_", F.explode(_terms(F.col("context"))).alias("term"))
-    met = pairs.groupBy("entity", "term", "doc_id", "row_").agg(F.min("where_").alias("low"), F.max("where_").alias("high"))
-    met = met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both"), F.min("low").alias("low"), F.max("high").alias("high"))
-    met = C.written(met, "met")
+    # documents that agree around the entity are one unit; a hot entity is spread by its contexts
+    units = C.written(near.groupBy("entity", "terms").agg(F.count(F.lit(1)).alias("places")), "units")
+    held = units.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    met = units.select("entity", "places", F.explode("terms").alias("term"))
+    met = C.written(met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.sum("places").alias("places")), "met")
     counts = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
     # an inner join: a semi join would be moved below the sums, and every word of every document would be shuffled
     priced = counts.join(met.select("term").distinct(), "term")
-    rows = met.join(priced, "term").join(held, "entity").join(F.broadcast(n_docs))  # n_docs is one row
-    information = F.log2(F.col("n_docs") / F.col("df_entity"))
-    # one context or more: the least and the largest of their hashes tell
-    once = F.col("low") == F.col("high")
-    both = F.when(once, 1 / F.col("contexts")).otherwise(F.col("df_both"))
-    pmi = F.log2(F.col("n_docs") * both / (F.col("df_entity") * (F.col("df_term") + once.cast("int"))))
+    rows = met.join(priced, "term", "left").join(held, "entity").join(F.broadcast(n_docs))  # n_docs is one row
+    information = F.log2(F.col("n_docs") / F.col("n_entity"))
+    once = F.col("n_both") == 1
+    both = F.when(once, 1 / F.col("n_entity")).otherwise(F.col("n_both"))
+    elsewhere = F.greatest(F.coalesce("df_term", F.lit(0)) - F.col("places"), F.lit(0))
+    pmi = F.log2(F.col("n_docs") * both / (F.col("n_entity") * (elsewhere + F.col("n_both") + once.cast("int"))))
     degree = F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
     return rows.select("entity", "term", degree.alias("degree")).where(F.col("degree") >= threshold)
 
 
+def _touches(covered: list[tuple[int, int]], ends: list[int], start: int, end: int) -> bool:
+    """Whether a place overlaps one of the sorted ``covered``; ``ends`` holds the largest end up to each of them."""
+    i = bisect_left(covered, (end,))
+    return i > 0 and ends[i - 1] > start
+
+
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.steps(batches):
         out = []
         for text, base, terms in zip(*(batch.column(n).to_pylist() for n in ("text", "base", "terms"))):
             taken, wanted = parsed(base), set(terms)
-            covered = [(a, b) for _, a, b in taken]
-            more = [(4, *m.span()) for m in _WORD.finditer(text) if m[0].lower() in wanted and not any(a < m.end() and m.start() < b for a, b in covered)]
+            covered = sorted((a, b) for _, a, b in taken)
+            ends = list(accumulate((b for _, b in covered), max))
+            more = [(4, *m.span()) for m in _TERM.finditer(text) if m[0].lower() in wanted and not _touches(covered, ends, *m.span())]
             out.append(joined([*taken, *more]))
         yield pa.RecordBatch.from_arrays([*batch.columns[1:3], pa.array(out, pa.string())], ["id_", "key_", "every"])
 
@@ -164,23 +189,26 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, threshold: float = DISCLOSES) -> DataFrame:
     """Per document: doc_id, row_, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
     id_type = dict(docs.dtypes)["doc_id"]
-    near_type = "array<struct<entity:string,context:string>>"
-    schema = f"doc_id {id_type}, row_ bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, near {near_type}"
+    near_type = "array<struct<entity:string,terms:array<string>>>"
+    schema = f"doc_id {id_type}, row_ bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, near {near_type}, held string"
     found = C.written(C.map_texts(docs.select("text", "doc_id", C.row_key().alias("row_")), _scan, schema), "entities")
     near = found.where(F.size("near") > 0).select("doc_id", "row_", F.inline("near"))
-    pairs = C.written(disclosing(docs, near, threshold), "disclosing")
-    per_row = near.select("doc_id", "row_", "entity").distinct().join(pairs, "entity")
-    per_row = per_row.groupBy("doc_id", "row_").agg(F.collect_set("term").alias("terms"))
-    bases = found.select(F.col("doc_id").alias("of_id"), F.col("row_").alias("of_row"), "base").where("base <> ''").distinct()
-    asked = per_row.join(bases, C.same_row(per_row, bases, ["doc_id", "row_"], ["of_id", "of_row"])).select(F.col("doc_id").alias("id_"), F.col("row_").alias("key_"), "terms", "base")
+    pairs = C.written(disclosing(docs, near, threshold).select("entity", "term"), "disclosing")
+    # each document asks for the pairs that it shows itself, so no entity's documents meet all its terms
+    shown = near.select("doc_id", "row_", "entity", F.explode("terms").alias("term")).join(pairs, ["entity", "term"])
+    asked = shown.groupBy(F.col("doc_id").alias("id_"), F.col("row_").alias("key_")).agg(F.collect_set("term").alias("terms"))
     asked = C.written(asked, "asked")
-    keyed = docs.select("doc_id", C.row_key().alias("row_"), "text")
-    texts = keyed.join(asked, C.same_row(keyed, asked, ["doc_id", "row_"], ["id_", "key_"])).select("text", "id_", "key_", "base", "terms")
+    # only documents with an entity are joined, and only their texts move
+    plain, holding = found.where("base = ''"), found.where("base <> ''")
+    texts = holding.join(asked, C.same_row(holding, asked, ["doc_id", "row_"], ["id_", "key_"]))
+    texts = texts.select(F.col("held").alias("text"), "id_", "key_", "base", "terms")
     marked = C.map_texts(texts, _mark, f"id_ {id_type}, key_ bigint, every string").distinct()
-    rows = found.join(marked, C.same_row(found, marked, ["doc_id", "row_"], ["id_", "key_"]), "left")
+    rows = holding.join(marked, C.same_row(holding, marked, ["doc_id", "row_"], ["id_", "key_"]), "left")
+    names = ["doc_id", "row_", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
     spans = F.coalesce("every", "base")
     n_term = F.size(F.filter(F.split(spans, ","), lambda s: s.startswith("term:")))
-    return rows.select("doc_id", "row_", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), n_term.cast("bigint").alias("n_term"))
+    rows = rows.select(*names, spans.alias("spans"), n_term.cast("bigint").alias("n_term"))
+    return plain.select(*names, F.col("base").alias("spans"), F.lit(0).cast("bigint").alias("n_term")).unionByName(rows)
 
 
 def generalise(kind: int, value: str) -> str:
