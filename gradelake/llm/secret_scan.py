@@ -1,7 +1,11 @@
 """Secret scan: fixed patterns, and values in a credential context judged by what guessing them would cost.
 
 The cost of a value is that of its cheapest segmentation into corpus words, dates, repeats, keyboard walks and
-brute-force runs, found by dynamic programming over the value's positions. Words cost the inverse of their share of all
+brute-force runs, found by dynamic programming over the value's positions: the exact minimum, in time linear in the
+value. Beside the best cost up to each place the programme keeps that of an open brute-force run, those of an open walk
+in each direction it may have there, and the places at which a repeat may still begin to pay. A repeat copies the unit
+before it any number of times and costs the logarithm of how often the unit then stands; a walk pays for its first key,
+its first direction and each turn. Words cost the inverse of their share of all
 words of the corpus, so the dictionary is the corpus itself: every substring of a value that could be a word is looked
 up in the counts of all documents by a join. What a word owes to the values themselves is taken off its count, so that a
 secret that was copied a thousand times does not become a common word. Values costlier than ``GUESSES`` are spans of
@@ -9,6 +13,9 @@ kind ``guess``; spans of the fixed patterns always stay.
 
 Positions are code points, ends exclusive. Kinds in order: assign, access, hex, guess.
 
+Limits: values under ``VALUE_LEAST`` code points, values with blanks, words outside ``WORD_LENGTHS`` and repeats of units
+over ``UNIT`` are not looked for.
+
 Defined cases: a null or empty text has no spans; rows with equal ids are scanned one by one; a value repeated in many
 places is judged once; an empty table gives no rows; other columns are ignored.
 """
@@ -49,24 +56,35 @@ WORD_LENGTHS = (3, 24)
 WORD_COUNT = 3
 
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
-_DATE = re.compile(
-    r"(?:19|20)\d{2}([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:(?:19|20)\d{2}|\d{2})|(?:19|20)\d{2}"
-)
+_DAY, _MONTH, _YEAR = "(?:0[1-9]|[12]\\d|3[01])", "(?:0[1-9]|1[0-2])", "(?:19|20)\\d{2}"
+_ANY_YEAR, _ANY_DAY = math.log10(130), math.log10(365 * 100)
+#: Every way to read a date, and its cost; written with signs it may have any of four.
+DATES = [(re.compile(_YEAR), _ANY_YEAR)]
+for _sign, _more in (("", 0.0), ("([-/._])", math.log10(4))):
+    _again = r"\1" if _sign else ""
+    for _form in (_YEAR + _sign + _MONTH + _again + _DAY, _DAY + _sign + _MONTH + _again + _YEAR, _DAY + _sign + _MONTH + _again + r"\d{2}"):
+        DATES.append((re.compile(_form), _ANY_DAY + _more))
 _SEGMENT = math.log10(2)
 #: The longest unit of a repeat.
-_UNIT = 12
-
+UNIT = 12
+#: A walk has three keys or more. It goes on with four chances in five, else turns into one of eight directions.
+WALK_LEAST = 3
+WALK_START, WALK_ON, WALK_TURN = math.log10(94 * 8), math.log10(1 / 0.8), math.log10(8 / 0.2)
 
-def _adjacent() -> set[tuple[str, str]]:
-    keys = {}
-    for y, row in enumerate(ROWS):
-        for x, c in enumerate(row):
-            keys[c] = (x + y / 2.0, y)
-    return {(a, b) for a, p in keys.items() for b, q in keys.items() if a != b and abs(p[0] - q[0]) <= 1.01 and abs(p[1] - q[1]) <= 1}
+_KEYS = {c: (2 * x + y, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
+_SHIFTED = dict(zip('!@#$%^&*()_+{}|:"<>?', "1234567890-=[]\\;',./"))
 
 
-ADJACENT = _adjacent()
-_SHIFTED = dict(zip('!@#$%^&*()_+{}|:"<>?', "1234567890-=[]\;',./"))
+def directions(a: str, b: str) -> list[tuple]:
+    """In which directions one goes from key ``a`` to ``b``: to a neighbour on the keyboard, or one on in the alphabet."""
+    out = []
+    if a in _KEYS and b in _KEYS:
+        (x, y), (u, v) = _KEYS[a], _KEYS[b]
+        if a != b and abs(u - x) <= 2 and abs(v - y) <= 1:
+            out.append((u - x, v - y))
+    if a.isalnum() and b.isalnum() and abs(ord(b) - ord(a)) == 1:
+        out.append((ord(b) - ord(a),))
+    return out
 
 
 def _alphabet(c: str) -> int:
@@ -103,37 +121,48 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
     low = value.lower() if len(value.lower()) == n else value
     plain = [_SHIFTED.get(c, c) for c in low]
     best = [0.0] + [math.inf] * n
-    kind = [""] + [""] * n
-    # starts of the runs that may end at each place
-    walk = [0] * n
-    for i in range(1, n):
-        walk[i] = walk[i - 1] if (plain[i - 1], plain[i]) in ADJACENT or abs(ord(low[i]) - ord(low[i - 1])) == 1 else i
-    # how far the value up to here repeats what stands one unit before
-    same = [0] * (_UNIT + 1)
-    dates: dict[int, list[tuple[int, float]]] = {}
-    for i in range(n):
-        m = _DATE.match(value, i) if value[i].isdigit() else None
-        if m:
-            years = math.log10(130 if m.end() - i == 4 else 365 * 100)
-            dates.setdefault(m.end(), []).append((i, years + (math.log10(4) if m[1] or m[2] else 0)))
+    brute = math.inf  # of the segmentations that end in a brute-force run
+    begun: dict[tuple, float] = {}  # walks of two keys by direction
+    walks: dict[tuple, float] = {}  # longer ones
+    same = [0] * (UNIT + 1)  # for how many places the value repeats what stands one unit before
+    starts: list[dict[int, list[int]]] = [{} for _ in same]  # where a repeat may begin, by place within the unit
+    dates: dict[int, list[float]] = {}
     for j in range(1, n + 1):
-        options = [(best[j - 1] + math.log10(_alphabet(value[j - 1])) + (0 if kind[j - 1] == "brute" else _SEGMENT), "brute")]
+        i = j - 1
+        if value[i].isdigit():
+            for form, cost in DATES:
+                if m := form.match(value, i):
+                    dates.setdefault(m.end(), []).append(best[i] + cost + _SEGMENT)
+        brute = min(brute, best[i] + _SEGMENT) + math.log10(_alphabet(value[i]))
+        least = min([brute, *dates.pop(j, ())])
         for k in range(WORD_LENGTHS[0], min(WORD_LENGTHS[1], j) + 1):
             cost = words.get(low[j - k : j])
             if cost is not None:
-                options.append((best[j - k] + cost + _case_cost(value[j - k : j]) + _SEGMENT, "word"))
-        for i, cost in dates.get(j, ()):
-            options.append((best[i] + cost + _SEGMENT, "date"))
-        start = walk[j - 1]
-        if j - start >= 3:
-            options.append((best[start] + math.log10(47 * 2 * (j - start)) + _SEGMENT, "walk"))
-        for unit in range(1, min(_UNIT, j - 1) + 1):
-            same[unit] = same[unit] + 1 if low[j - 1] == low[j - 1 - unit] else 0
-            if same[unit] >= unit:
-                # the cost of the first unit, times how often it stands
-                times = same[unit] // unit + 1
-                options.append((best[j - (times - 1) * unit] + math.log10(times) + _SEGMENT, "repeat"))
-        best[j], kind[j] = min(options)
+                least = min(least, best[j - k] + cost + _case_cost(value[j - k : j]) + _SEGMENT)
+        ways = directions(plain[i - 1], plain[i]) if i else []
+        open_walks = [*begun.items(), *walks.items()]
+        walks = {w: min(c + (WALK_ON if w == v else WALK_TURN) for v, c in open_walks) for w in ways} if open_walks else {}
+        begun = {w: best[j - 2] + WALK_START + _SEGMENT for w in ways}
+        least = min([least, *walks.values()])
+        for unit in range(1, min(UNIT, i) + 1):
+            if low[i] != low[i - unit]:
+                if same[unit]:
+                    same[unit] = 0
+                    starts[unit] = {}
+                continue
+            same[unit] += 1
+            if same[unit] < unit:
+                continue
+            # a later start loses to an earlier one for good once it is not cheaper: logarithms grow slower and slower
+            kept, cheapest = [], math.inf
+            for at in [*starts[unit].get(j % unit, ()), j - unit]:
+                cost = best[at] + math.log10((j - at) // unit + 1)
+                if cost < cheapest:
+                    kept.append(at)
+                    cheapest = cost
+            starts[unit][j % unit] = kept
+            least = min(least, cheapest + _SEGMENT)
+        best[j] = least
     return best[n]
 
 

@@ -1,6 +1,9 @@
 import hashlib
+import itertools
 import math
+import random
 import re
+import time
 
 from gradelake.llm import secret_scan as S
 
@@ -49,27 +52,77 @@ def test_odd_and_empty(odd, make):
     assert S.scan(make([]).limit(0)).isEmpty()
 
 
-def brute(value, words):
-    """The cheapest segmentation by trying all of them, without repeats of a unit."""
-    def segment(part):
-        found = [math.log10(S._alphabet(part[0])) + S._SEGMENT] if len(part) == 1 else [sum(math.log10(S._alphabet(c)) for c in part) + S._SEGMENT]
-        if part.lower() in words:
-            found.append(words[part.lower()] + S._case_cost(part) + S._SEGMENT)
-        return min(found)
+def dates(part):
+    """The cost of a part that is a whole date, by its digits."""
+    if re.fullmatch(r"(19|20)\d\d", part):
+        return [math.log10(130)]
+    year = lambda y: len(y) == 4 and y[:2] in ("19", "20")
+    day = lambda d: len(d) == 2 and 1 <= int(d) <= 31
+    for first, last in ((2, 2), (2, 4), (4, 2)):
+        m = re.fullmatch(rf"(\d{{{first}}})([-/._]?)(\d\d)\2(\d{{{last}}})", part)
+        if m and 1 <= int(m[3]) <= 12 and (year(m[1]) and day(m[4]) or day(m[1]) and (last == 2 or year(m[4]))):
+            return [math.log10(36500) + (math.log10(4) if m[2] else 0)]
+    return []
+
+
+def walk(part):
+    """The cheapest reading of a part as a walk: all choices of a direction for each step."""
+    plain = [S._SHIFTED.get(c, c) for c in part.lower()]
+    ways = [S.directions(a, b) for a, b in zip(plain, plain[1:])]
+    if len(part) < 3 or not all(ways):
+        return []
+    costs = []
+    for path in itertools.product(*ways):
+        costs.append(math.log10(94 * 8) + sum(math.log10(1.25) if a == b else math.log10(40) for a, b in zip(path, path[1:])))
+    return [min(costs)]
 
-    best = math.inf
-    for bits in range(1 << (len(value) - 1)):
-        cuts = [0, *(i + 1 for i in range(len(value) - 1) if bits >> i & 1), len(value)]
-        best = min(best, sum(segment(value[a:b]) for a, b in zip(cuts, cuts[1:])))
-    return best
+
+def brute(value, words):
+    """The cheapest segmentation with every part read in every way."""
+    low, full = value.lower(), [0.0]
+    for j in range(1, len(value) + 1):
+        found = []
+        for i in range(j):
+            part = value[i:j]
+            costs = [sum(math.log10(S._alphabet(c)) for c in part), *dates(part), *walk(part)]
+            if part.lower() in words:
+                costs.append(words[part.lower()] + S._case_cost(part))
+            for unit in range(1, min(12, i, j - i) + 1):
+                if (j - i) % unit == 0 and low[i:j] == low[i - unit : i] * ((j - i) // unit):
+                    costs.append(math.log10((j - i) // unit + 1))
+            found.append(full[i] + min(costs) + math.log10(2))
+        full.append(min(found))
+    return full[-1]
 
 
 def test_segmentation_is_the_cheapest():
-    words = {"correct": 3.0, "horse": 2.5, "staple": 3.5, "cor": 1.5, "rect": 1.6}
-    for value in ("xhorsez9kb", "CorrectHorse", "k7corq", "staplehorse", "rectcor"):
+    words = {"correct": 3.0, "horse": 2.5, "staple": 3.5, "cor": 1.5, "rect": 1.6, "pass": 2.2}
+    for value in ("xhorsez9kb", "CorrectHorse", "k7corq", "staplehorse", "rectcor", "passdfghjk", "aaaaaaaaaaaa", "abababababab9", "x20240517y", "010203", "qazwsxedc"):
         assert math.isclose(S.guess_cost(value, words), brute(value, words), abs_tol=1e-9), value
 
 
+def test_segmentation_of_random_values_is_the_cheapest():
+    rng = random.Random(11)
+    words = {"correct": 3.0, "horse": 2.5, "staple": 3.5, "cor": 1.5, "rect": 1.6, "pass": 2.2, "asd": 1.0, "dfg": 3.9, "ass": 2.9}
+    pieces = [*words, "qwer", "asdfg", "zaq1", "123", "321", "abc", "fed", "2024", "20240517", "17.05.24", "1999-12-31", "aaa", "abab", "xyx", "!Q", "k", "Z", "7", "#", "é", "hhhh", "1212"]
+    for _ in range(10_000):
+        value = ""
+        while len(value) < rng.randint(3, 13):
+            piece = rng.choice(pieces)
+            value += rng.choice([piece, piece, piece.upper(), piece * rng.randint(1, 3), piece[1:]])
+        value = value[:18]
+        assert math.isclose(S.guess_cost(value, words), brute(value, words), abs_tol=1e-9), value
+
+
+def test_walks_pay_for_turns_and_long_values_take_linear_time():
+    assert S.guess_cost("qwertyuiop", {}) < 5 < S.GUESSES < S.guess_cost("qazxswedcvfrtgb", {})
+    for unit in ("a", "ab", "qwertyuiopas", "kX9#vQ2!mZ7&"):
+        begin = time.time()
+        S.guess_cost(unit * (60_000 // len(unit)), {})
+        assert time.time() - begin < 20
+    assert S.guess_cost("a" * 200_000, {}) < S.GUESSES
+
+
 def test_cheap_and_costly_values():
     words = {"dragon": 3.0, "summer": 3.0}
     for cheap in ("dragonsummer", "summer2024", "qwertyuiop", "aaaaaaaaaaaaaaaa", "12345678", "2024-05-17", "abcabcabcabc", "Dragon1999"):
