@@ -70,8 +70,11 @@ def grpo_floored(df, group="uid", score="score", norm_by_std=True, eps=EPS, hot_
 
 
 @register_estimator("grpo_passk")
-def grpo_pass_at_k(df, group="uid", score="score", row_key: Sequence[str] = ("row_idx",), norm_by_std=True, eps=EPS, hot_rows=None):
-    """Only the best row of a group scores: best minus runner-up. Ties go to the first ``row_key``."""
+def grpo_pass_at_k(df, group="uid", score="score", row_key: Sequence[str] = ("row_idx",), norm_by_std=True, eps=EPS, hot_rows=None, lone: str = "error"):
+    """Only the best row of a group scores: best minus runner-up. Ties go to the first ``row_key``.
+
+    A group of one has no runner-up: an error, or with ``lone="null"`` a row without an advantage.
+    """
     order = [F.col(score).desc(), *[F.col(c).asc() for c in row_key]]
     top = top_per_group(df.select(group, score, *row_key), [group], order, 2, "_rank")
     gap = top.groupBy(group).agg(
@@ -86,7 +89,7 @@ def grpo_pass_at_k(df, group="uid", score="score", row_key: Sequence[str] = ("ro
     gain = F.col("g_best") - F.col("g_second")
     if norm_by_std:
         gain = gain / (F.col("g_std") + eps)
-    too_small = F.raise_error(F.lit("at least 2 rows per group are needed"))
+    too_small = F.lit(None) if lone == "null" else F.raise_error(F.lit("at least 2 rows per group are needed"))
     adv = F.when(F.col("group_n") < 2, too_small.cast("double")).when(won, gain).otherwise(F.lit(0.0))
     return joined.withColumn("advantage", adv).drop("group_n", "g_std", "g_best", "g_second", *[f"g_{c}" for c in row_key])
 

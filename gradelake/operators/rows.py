@@ -125,18 +125,54 @@ def batches(df: DataFrame, size: int, drop_last: bool = True, name: str = "batch
     return _with_total(rows).where(F.col(name) < full).drop("_total")
 
 
+#: Steps that bring a place back into 0..n-1 with certainty up to n = 4096; beyond, all but one in 2^384 need fewer.
+WALKS = 64
+ROUNDS = 6
+
+
+def permuted(index: Column, total: Column, seed: Column | str | int) -> Column:
+    """The place of row ``index`` of 0..total-1 in an order that ``seed`` shuffles; computed from the row alone.
+
+    The index is a pair (left, right) of a grid that just holds ``total`` places. Each round adds a hash of one half to
+    the other, which can be undone, so all places differ; a place beyond ``total`` goes through the rounds again.
+    """
+    seed = F.lit(seed) if not isinstance(seed, Column) else seed
+    high = F.ceil(F.sqrt(total.cast("double"))).cast("long")
+    grid = F.struct(high.alias("a"), whole_div(total + high - 1, high).alias("b"))
+
+    def shuffled(x, g):
+        def hashed(i, v, below):
+            text = F.concat_ws("|", seed.cast("string"), i.cast("string"), v.cast("string"))
+            return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % below
+
+        def turn(p, i):
+            left = F.when(i % 2 == 0, (p["l"] + hashed(i, p["r"], g["a"])) % g["a"]).otherwise(p["l"])
+            right = F.when(i % 2 == 1, (p["r"] + hashed(i, p["l"], g["b"])) % g["b"]).otherwise(p["r"])
+            return F.struct(left.alias("l"), right.alias("r"))
+
+        start = F.struct(whole_div(x, g["b"]).alias("l"), (x % g["b"]).alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda p: p["l"] * g["b"] + p["r"])
+
+    def walk(g):
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(WALKS)), F.lit(-1).cast("long"),
+            lambda x, i: F.when(i == 1, shuffled(index.cast("long"), g)).when(x < total, x).otherwise(shuffled(x, g)),
+        )
+
+    place = F.transform(F.array(grid), walk)[0]
+    lost = F.raise_error(F.lit("no place found; take another seed")).cast("long")
+    return F.when(place < total, place).otherwise(lost)
+
+
 def mini_batches(df: DataFrame, size: int, epochs: int = 1, seed: int | None = None) -> DataFrame:
-    """(epoch, batch) per row; the row count must divide. A seed reorders each epoch by a hash of the index."""
-    rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    """(epoch, batch) per row; the row count must divide. A seed shuffles each epoch by ``permuted``, without a sort."""
+    rows = _total_of(df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))), df)
+    place = F.col(IDX)
     if seed is not None:
-        keyed = rows.withColumn("_h", F.xxhash64(F.lit(seed), "epoch", IDX))
-        ranked = with_row_index(keyed, ["epoch", "_h", IDX], "_r")
-        rows = _total_of(ranked, df).withColumn("_pos", F.col("_r") - F.col("epoch") * F.col("_total")).drop("_h", "_r")
-    else:
-        rows = _total_of(rows, df).withColumn("_pos", F.col(IDX))
+        place = permuted(place, F.col("_total"), F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string")))
     bad = F.raise_error(F.lit(f"rows do not divide into batches of {size}")).cast("long")
     batch = F.when(F.col("_total") % size != 0, bad).otherwise(whole_div("_pos", size))
-    return rows.withColumn("batch", batch).drop("_pos", "_total")
+    return rows.withColumn("_pos", place).withColumn("batch", batch).drop("_pos", "_total")
 
 
 def _total_of(rows: DataFrame, df: DataFrame) -> DataFrame:

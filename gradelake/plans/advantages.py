@@ -84,15 +84,13 @@ def _(spark, sf):
     with_(SCORES_SQL)
     + """, b AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY uid ORDER BY score DESC, part, supp, line) AS r,
         stddev_samp(score) OVER w AS s FROM scores WINDOW w AS (PARTITION BY uid)),
-      k AS (SELECT *, lead(score) OVER (PARTITION BY uid ORDER BY r) AS nxt FROM b WHERE n > 1)
-   SELECT uid, part, supp, line, score, CASE WHEN r = 1 THEN round((score - nxt) / (s + 1e-6), 6) ELSE 0 END AS advantage FROM k""",
+      k AS (SELECT *, lead(score) OVER (PARTITION BY uid ORDER BY r) AS nxt FROM b)
+   SELECT uid, part, supp, line, score, CASE WHEN n = 1 THEN NULL WHEN r = 1 THEN round((score - nxt) / (s + 1e-6), 6) ELSE 0 END AS advantage FROM k""",
 )
 def _(spark, sf):
-    # the estimator refuses groups of one; the row key has to tell every row of a group apart
+    # the row key has to tell every row of a group apart; a group of one has no advantage
     rows = group_scores(spark, sf).withColumn("row_idx", F.monotonically_increasing_id())
-    big = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("uid")
-    indexed = rows.join(big, "uid", "left_semi")
-    return _out(adv.grpo_pass_at_k(indexed, row_key=["part", "supp", "line", "row_idx"]))
+    return _out(adv.grpo_pass_at_k(rows, row_key=["part", "supp", "line", "row_idx"], lone="null"))
 
 
 SESSIONS_SQL = """, ses AS (SELECT uid, part % 3 AS session_id, part AS traj_index, supp, line, score FROM scores),

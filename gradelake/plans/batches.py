@@ -170,6 +170,21 @@ def _(spark, sf):
     return R.mini_batches(_rows(spark, sf), 50, 2).select("row_idx", "epoch", "batch")
 
 
+SHUFFLED_SQL = """WITH RECURSIVE n AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM orders), g AS (SELECT n, a, (n + a - 1) // a AS b FROM n),
+  w AS (SELECT o_orderkey AS row_idx, e, o_orderkey::BIGINT AS x, 0 AS step, n, a, b FROM orders, generate_series(0, 1) t(e), g
+    UNION ALL SELECT row_idx, e, p.l * b + p.r, step + 1, n, a, b FROM (SELECT *, list_reduce(list_prepend({i: -1::BIGINT, l: x // b, r: x % b},
+        list_transform(range(6), lambda i: {i: i, l: 0::BIGINT, r: 0::BIGINT})), lambda s, t: {i: t.i,
+          l: CASE WHEN t.i % 2 = 0 THEN (s.l + ('0x' || substr(md5('7|' || e || '|' || t.i || '|' || s.r), 1, 15))::BIGINT % a) % a ELSE s.l END,
+          r: CASE WHEN t.i % 2 = 1 THEN (s.r + ('0x' || substr(md5('7|' || e || '|' || t.i || '|' || s.l), 1, 15))::BIGINT % b) % b ELSE s.r END}) AS p
+      FROM w WHERE step = 0 OR x >= n))
+  SELECT row_idx, e::INT AS epoch, x // 50 AS batch FROM w WHERE step > 0 AND x < n"""
+
+
+@query("pr23_so6_shuffled_mini_batches", SHUFFLED_SQL)
+def _(spark, sf):
+    return R.mini_batches(_rows(spark, sf), 50, 2, seed=7).select("row_idx", "epoch", "batch")
+
+
 @query(
     "jn8_zip_columns",
     "SELECT o_orderkey AS row_idx, o_custkey, o_orderpriority, o_totalprice FROM orders",
@@ -270,13 +285,20 @@ def _(spark, sf):
 
 @query(
     "ag33_length_imbalance",
-    """WITH d AS (SELECT doc_id // 40 AS batch, (doc_id % 40) // 10 AS block, len(string_split(text, ' ')) AS n FROM documents), b AS (SELECT batch, block, sum(n) AS s FROM d GROUP BY ALL)
-     SELECT batch, min(s)::BIGINT AS min, max(s)::BIGINT AS max, (max(s) - min(s))::BIGINT AS minmax_diff, (sum(s) / 4)::DOUBLE AS mean FROM b GROUP BY batch""",
+    """WITH RECURSIVE d AS (SELECT doc_id // 40 AS batch, (doc_id % 40) // 10 AS block, len(string_split(text, ' '))::BIGINT AS n,
+      row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) AS i FROM documents),
+     r AS (SELECT DISTINCT batch, 0::BIGINT AS i, 0::BIGINT AS n, 0 AS part, [0, 0, 0, 0]::HUGEINT[] AS c FROM d
+       UNION ALL SELECT batch, i, n, part, list_transform(c, lambda x, k: CASE WHEN k = part THEN x + 24576 * n + n * n ELSE x END)
+         FROM (SELECT d.batch, d.i, d.n, c, list_position(c, list_min(c)) AS part FROM r JOIN d ON d.batch = r.batch AND d.i = r.i + 1)),
+     e AS (SELECT batch, min(s)::BIGINT AS balanced_min, max(s)::BIGINT AS balanced_max FROM (SELECT batch, part, sum(n) AS s FROM r WHERE i > 0 GROUP BY ALL) GROUP BY batch),
+     b AS (SELECT batch, block, sum(n) AS s FROM d GROUP BY ALL)
+     SELECT batch, min(s)::BIGINT AS min, max(s)::BIGINT AS max, (max(s) - min(s))::BIGINT AS minmax_diff, any_value(balanced_min) AS balanced_min,
+       any_value(balanced_max) AS balanced_max, (sum(s) / 4)::DOUBLE AS mean FROM b JOIN e USING (batch) GROUP BY batch""",
 )
 def _(spark, sf):
-    parts = B.balanced_partitions(_lengths(spark, sf), "batch", "doc_id", "length", 4)
-    # the balanced sums depend on the heuristic and are checked by unit tests
-    return B.imbalance(parts, "batch", "doc_id", "length", 4).drop("balanced_min", "balanced_max")
+    # the greedy heuristic, whose sums SQL can repeat
+    parts = B.balanced_partitions(_lengths(spark, sf), "batch", "doc_id", "length", 4, equal=False, method="greedy")
+    return B.imbalance(parts, "batch", "doc_id", "length", 4)
 
 
 # --- ordered logs -----------------------------------------------------------------------------

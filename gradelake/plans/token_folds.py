@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradelake.functions import arrays as A
+from gradelake.functions import logits as L
 from gradelake.operators import tokens as tk
 from gradelake.plans.derived import TOKENS_SQL, tokens, trajectories, with_
 from gradelake.plans.registry import query, table
@@ -265,3 +266,43 @@ def _(spark, sf):
         F.element_at("p", 1)["response"].alias("chosen"),
         F.element_at("p", 2)["response"].alias("rejected"),
     )
+
+
+# an embedding is one position's logits, the label the id that was drawn
+LOGITS_SQL = """WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE * {by}) AS x FROM embeddings),
+  m AS (SELECT *, list_max(x) AS top FROM x),
+  s AS (SELECT *, list_sum(list_transform(x, lambda v: exp(v - top))) AS total, list_sum(list_transform(x, lambda v: exp(v - top) * v)) AS weighted,
+     list_sum(list_transform(x, lambda v: exp(2 * (v - top)))) AS squares FROM m)
+  SELECT vec_id, round(top + ln(total), 6) AS log_sum_exp, round(top + ln(total) - weighted / total, 6) AS entropy,
+    round(x[label + 1] - top - ln(total), 6) AS log_prob, round(squares / (total * total), 6) AS sum_pi_squared FROM s"""
+
+
+def _figures(df, m, twice):
+    return _r(
+        df.select(
+            "vec_id", L.log_sum_exp(m).alias("log_sum_exp"), L.entropy(m).alias("entropy"),
+            L.log_prob(F.col("logit"), m).alias("log_prob"), L.sum_of_squares(m, twice).alias("sum_pi_squared"),
+        ),
+        "log_sum_exp", "entropy", "log_prob", "sum_pi_squared",
+    )
+
+
+def _logits(spark, sf, by):
+    x = F.transform("embedding", lambda v: v.cast("double") * by)
+    return table(spark, sf, "embeddings").select("vec_id", x.alias("x"), F.get(x, F.col("label")).alias("logit"))
+
+
+@query("ar10_logit_figures", LOGITS_SQL.format(by=10))
+def _(spark, sf):
+    rows = _logits(spark, sf, 10).withColumns({"m": L.mass(F.col("x")), "twice": L.mass(F.col("x"), 2.0)})
+    return _figures(rows, F.col("m"), F.col("twice"))
+
+
+@query("ar10_chunked_logits", LOGITS_SQL.format(by=1000))
+def _(spark, sf):
+    rows = _logits(spark, sf, 1000)
+    parts = L.chunked(rows, ["vec_id"], "x", 16).select("vec_id", F.struct(L.mass(F.col("x")).alias("m"), L.mass(F.col("x"), 2.0).alias("twice")).alias("both"))
+    whole = L.merged(parts.select("vec_id", F.col("both.m").alias("m")), ["vec_id"], "m").join(
+        L.merged(parts.select("vec_id", F.col("both.twice").alias("twice")), ["vec_id"], "twice"), "vec_id"
+    )
+    return _figures(rows.select("vec_id", "logit").join(whole, "vec_id"), F.col("m"), F.col("twice"))
