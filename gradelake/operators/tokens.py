@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.operators.groups import join_skewed, top_per_group
+from gradelake.operators.groups import join_skewed
+from gradelake.session import checkpoint
 
 
 def explode_tokens(df: DataFrame, keep: Sequence[str], arrays: Sequence[str], outer: bool = False) -> DataFrame:
@@ -58,7 +59,34 @@ def whiten(df: DataFrame, value: str, mask: str = "mask", shift_mean: bool = Tru
     return df.join(F.broadcast(s)).withColumn(out, w).drop("_mu", "_var")
 
 
-def token_baseline(
+def step_sums(trajectories: DataFrame, group: str, value: str, weight: str, length: str) -> DataFrame:
+    """Element-wise sums of ragged arrays: one row per group, in one pass and combined before the shuffle.
+
+    Gives ``_n`` (rows), ``_max`` and ``_second`` (the two largest lengths), and the arrays ``_value`` and ``_weight``
+    that hold per position the sums of value * weight and of weight. Lengths ride along as positions below zero. A group
+    has as many rows after the first aggregation as its longest array, and different lengths, have places.
+    """
+    zipped = F.arrays_zip(F.col(value).alias("v"), F.col(weight).alias("w"))
+    at = F.transform(zipped, lambda z, i: F.struct(i.alias("k"), (z["v"] * z["w"]).alias("v"), z["w"].alias("w")))
+    size = F.struct((-1 - F.col(length)).cast("int").alias("k"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
+    cells = trajectories.select(group, F.explode(F.concat(at, F.array(size))).alias("_c")).select(group, "_c.*")
+    sums = cells.groupBy(group, "k").agg(F.sum("v").alias("v"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("c"))
+    listed = sums.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("k", "v", "w", "c"))).alias("_all"))
+    steps, lengths = F.filter("_all", lambda s: s["k"] >= 0), F.filter("_all", lambda s: s["k"] < 0)
+    listed = listed.select(group, steps.alias("_s"), lengths.alias("_l"))
+    first = F.col("_l")[0]
+    second = F.when(first["c"] > 1, first["k"]).otherwise(F.get("_l", F.lit(1))["k"])
+    return listed.select(
+        group,
+        F.aggregate("_l", F.lit(0).cast("bigint"), lambda n, s: n + s["c"]).alias("_n"),
+        (-1 - first["k"]).alias("_max"),
+        (-1 - second).alias("_second"),
+        F.transform("_s", lambda s: s["v"]).alias("_value"),
+        F.transform("_s", lambda s: s["w"]).alias("_weight"),
+    )
+
+
+def baseline_arrays(
     trajectories: DataFrame,
     returns: str = "returns",
     energy: str = "energy",
@@ -70,50 +98,47 @@ def token_baseline(
     eps: float = 1e-8,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Per-group, per-step baseline sum(G*W) / (sum(W) + eps) and the advantage G - B.
+    """Per-group, per-step baseline sum(G*W) / (sum(W) + eps) and the advantage G - B, a row per trajectory.
 
     ``trajectories`` has array columns: returns G, running energy W and the mask. With ``compact`` the
     step is the rank among valid tokens (multi-turn masks), else the token position. A lone trajectory
     has no baseline; the part of a strictly longest one beyond the runner-up's length has none either.
+    Result: group, traj and the arrays ``t``, returns, energy, mask, ``baseline`` and ``advantage``.
+    No token is a row of a shuffle; the trajectories are read twice.
     """
     t = trajectories.withColumn("_len", F.aggregate(mask, F.lit(0), lambda a, m: a + m))
     if compact:
-        t = t.where("_len > 0")
-    longest = top_per_group(t.select(group, "_len"), [group], [F.col("_len").desc()], 2, "_rank")
-    longest = longest.groupBy(group).agg(F.max("_len").alias("_max"), F.min("_len").alias("_second"))
-    of_group = t.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).join(longest, group)
-    arrays = [returns, energy, mask]
-    if compact:
-        t = t.withColumns(
+        t = t.where("_len > 0").withColumns(
             {
-                "_pos": F.filter(F.transform(mask, lambda m, i: F.when(m != 0, i)), lambda p: p.isNotNull()),
+                "t": F.filter(F.transform(mask, lambda m, i: F.when(m != 0, i)), lambda p: p.isNotNull()),
                 returns: _keep(returns, mask),
                 energy: _keep(energy, mask),
                 mask: F.filter(mask, lambda m: m != 0),
             }
         )
-        arrays.append("_pos")
-    rows = explode_tokens(t, [group, traj, "_len"], arrays)
-    m = F.col(mask)
-    weight = F.col(energy) * m
-    steps = rows.groupBy(group, "t").agg(
-        (F.sum(F.col(returns) * weight) / (F.sum(weight) + F.lit(eps))).alias("_b"),
-    )
-    # group figures ride on the per-step rows, so whole arrays are never shuffled by group
-    steps = steps.join(of_group, group)
-    # a step is at most as hot as its group; there is a row per step and group, so no broadcast
-    sizes = t.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    out = join_skewed(
-        rows, steps, [group, "t"], "_n", hot_rows, spread_on=[traj], sizes=sizes, size_keys=[group], hint="shuffle_hash"
-    )
-    base = F.when(F.col("_n") > 1, F.col("_b")).otherwise(F.lit(0.0))
+    else:
+        t = t.withColumn("t", F.transform(mask, lambda m, i: i))
+    weighed = t.withColumn("_w", F.zip_with(energy, mask, lambda w, m: w * m))
+    # one row per group, kept: it tells the hot groups as well as the baselines
+    stats = checkpoint(step_sums(weighed, group, returns, "_w", "_len"))
+    base = F.zip_with("_value", "_weight", lambda v, w: v / (w + F.lit(eps)))
+    stats = stats.select(group, "_n", "_max", "_second", F.when(F.col("_n") > 1, base).otherwise(F.transform(base, lambda b: F.lit(0.0))).alias("_base"))
+    rows = t.select(group, traj, "t", returns, energy, mask, "_len")
+    out = join_skewed(rows, stats, [group], "_n", hot_rows, spread_on=[traj])
+    kept = F.slice("_base", F.lit(1), F.size("t"))
     if zero_tail:
-        tail = (F.col("_len") == F.col("_max")) & (F.col("_max") > F.col("_second")) & (F.col("t") >= F.col("_second"))
-        base = F.when(tail, F.lit(0.0)).otherwise(base)
-    out = out.withColumn("baseline", base).withColumn("advantage", (F.col(returns) - F.col("baseline")) * m)
-    if compact:
-        out = out.withColumn("t", F.col("_pos")).drop("_pos")
-    return out.drop("_n", "_len", "_max", "_second", "_b")
+        tail = (F.col("_len") == F.col("_max")) & (F.col("_max") > F.col("_second"))
+        kept = F.transform(kept, lambda b, i: F.when(tail & (i >= F.col("_second")), F.lit(0.0)).otherwise(b))
+    out = out.withColumn("baseline", kept)
+    gain = F.zip_with(F.zip_with(returns, "baseline", lambda g, b: g - b), mask, lambda a, m: a * m)
+    return out.withColumn("advantage", gain).select(group, traj, "t", returns, energy, mask, "baseline", "advantage")
+
+
+def token_baseline(trajectories: DataFrame, returns="returns", energy="energy", mask="mask", group="uid", traj="traj", **options) -> DataFrame:
+    """``baseline_arrays`` as one row per token."""
+    rows = baseline_arrays(trajectories, returns, energy, mask, group, traj, **options)
+    arrays = ["t", returns, energy, mask, "baseline", "advantage"]
+    return rows.select(group, traj, F.inline(F.arrays_zip(*[F.col(a) for a in arrays])))
 
 
 def _keep(values: str, mask: str) -> Column:

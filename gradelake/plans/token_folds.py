@@ -32,6 +32,16 @@ def _digest(df, adv, traj="traj", mask=None):
     return out.withColumns({c: F.round(c, 4) for c in ("total", "weighted")})
 
 
+def _array_digest(df, adv, traj="traj"):
+    """The digest of advantage arrays whose places are in ``t``, without a row per token."""
+    zero = F.lit(0.0)
+    spread = F.zip_with(adv, "t", lambda a, t: a * (t + 1))
+    add = lambda a, x: a + x
+    n = F.size("t").cast("long")
+    out = df.select(traj, n.alias("tokens"), F.aggregate(adv, zero, add).alias("total"), (F.aggregate(spread, zero, add) / n).alias("weighted"))
+    return out.where("tokens > 0").withColumns({c: F.round(c, 4) for c in ("total", "weighted")})
+
+
 DIGEST = "traj, count(*) AS tokens, round(sum({x}), 4) AS total, round(sum(({x}) * (t + 1)) / count(*), 4) AS weighted"
 
 
@@ -142,7 +152,7 @@ def _with_energy(spark, sf):
     TOK + OTB_SQL.format(step="t", keep="true") + "SELECT " + DIGEST.format(x="(g - base)*mask") + " FROM res GROUP BY traj",
 )
 def _(spark, sf):
-    return _digest(tk.token_baseline(_with_energy(spark, sf)), "advantage")
+    return _array_digest(tk.baseline_arrays(_with_energy(spark, sf)), "advantage")
 
 
 @query(
@@ -152,7 +162,7 @@ def _(spark, sf):
     + "SELECT " + DIGEST.format(x="(g - base)*mask") + " FROM res GROUP BY traj",
 )
 def _(spark, sf):
-    return _digest(tk.token_baseline(_with_energy(spark, sf), compact=True), "advantage")
+    return _array_digest(tk.baseline_arrays(_with_energy(spark, sf), compact=True), "advantage")
 
 
 @query(
