@@ -104,7 +104,7 @@ def baseline_arrays(
     step is the rank among valid tokens (multi-turn masks), else the token position. A lone trajectory
     has no baseline; the part of a strictly longest one beyond the runner-up's length has none either.
     Result: group, traj and the arrays ``t``, returns, energy, mask, ``baseline`` and ``advantage``.
-    No token is a row of a shuffle; the trajectories are read twice.
+    Tokens are summed per group and step before they move, and are not joined; the trajectories are read twice.
     """
     t = trajectories.withColumn("_len", F.aggregate(mask, F.lit(0), lambda a, m: a + m))
     if compact:
