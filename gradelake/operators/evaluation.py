@@ -278,10 +278,31 @@ def pass_at_k(graded: DataFrame, problem: str = "problem_id") -> DataFrame:
     )
 
 
+BITS = 64
+
+
+def done_bits(done: DataFrame, samples: int, key: Sequence[str] = tuple(KEY)) -> DataFrame:
+    """One row per problem: ``done``, the set of its samples 1 .. ``samples`` as bits of ceil(samples / 64) integers.
+
+    The bits of a problem are combined before the shuffle; repeated samples change nothing, others and nulls are ignored.
+    """
+    at = F.col(key[1]).cast("long") - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(BITS)).cast("int"))
+    words = [F.bit_or(F.when((at >= w * BITS) & (at < min(samples, (w + 1) * BITS)), bit)) for w in range(-(-samples // BITS))]
+    return done.groupBy(key[0]).agg(F.array(*[F.coalesce(w, F.lit(0).cast("long")) for w in words]).alias("done"))
+
+
 def work_list(problems: DataFrame, done: DataFrame, samples: int, key: Sequence[str] = tuple(KEY)) -> DataFrame:
-    """Every (problem, sample) still to run: the sample list is a bounded sequence, not a join."""
-    grid = problems.withColumn(key[1], F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    return grid.join(done.select(*key), list(key), "left_anti")
+    """Every (problem, sample) still to run: the complement of the problem's done bits, one row per problem until then."""
+    if samples < 1:
+        raise ValueError("samples must be at least 1")
+    bits = done_bits(done, samples, key).withColumnsRenamed({key[0]: "_problem", "done": "_done"})
+    open_ = F.filter(
+        F.sequence(F.lit(1), F.lit(samples)),
+        lambda s: F.coalesce(F.getbit(F.get("_done", F.floor((s - 1) / BITS).cast("int")), (s - 1) % BITS), F.lit(0)) == 0,
+    )
+    left = problems.join(bits, problems[key[0]] == bits["_problem"], "left")
+    return left.withColumn(key[1], F.explode(open_)).drop("_problem", "_done")
 
 
 def lookup_with_fallback(preds: DataFrame, dataset: DataFrame) -> DataFrame:
