@@ -1,17 +1,20 @@
 """Validation metrics: mean/std per prompt, bootstrapped best/worst/majority, then the mean over prompts.
 
 The resampling indices are those of numpy's legacy generator reseeded for every call, so equal group
-sizes share one index matrix. Ordinary groups are resampled as arrays inside Arrow batches; a group
-larger than ``array_limit`` never becomes an array: its indices are drawn by many tasks, joined row by row and
+sizes share one index matrix. Ordinary groups are resampled as arrays inside Arrow batches. A group larger than
+``array_limit`` goes with its array to many tasks, each of which draws some of the resamples and reduces them in place.
+A group larger than ``block_limit`` never becomes an array: its indices are drawn by many tasks, joined row by row and
 reduced with ordinary aggregates, which gives the same numbers.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,11 @@ from gradelake.operators.groups import join_group_stats, position_in_group
 from gradelake.session import checkpoint
 
 ARRAY_LIMIT = 2048
+#: Rows of the largest group that tasks hold as arrays (12 bytes a row), and draws that are reduced at a time.
+BLOCK_LIMIT = 1 << 20
+STEP = 1 << 20
+#: Draws of one task's share of a group: numpy's are cheap beside the jump to their place.
+SHARE = {"numpy": 1 << 24, "counter": 1 << 20}
 #: Raw numbers of one task, and draws of one group that are joined as one part.
 RAW_BLOCK = 1 << 22
 PART = 1 << 20
@@ -95,8 +103,13 @@ def _small_groups(groups: DataFrame, keys: Sequence[str], has_votes: bool, boots
     return groups.select(*keys, F.explode(points).alias("p")).select(*keys, "p.n", "p.metric", "p.value")
 
 
-def draw_indices(sizes: DataFrame, boots: int, seed: int, chunk: int = RAW_BLOCK) -> DataFrame:
-    """(total, n, boot, k, idx, part) rows of numpy's stream for every (total, n) pair, drawn by many tasks.
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """Few small rows with much work each: a fixed number of partitions, which adaptive execution leaves alone."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _placed_blocks(sizes: DataFrame, boots: int, seed: int, chunk: int) -> DataFrame:
+    """(total, n_max, ns, block, kept, start): where each block of raw numbers begins in the stream of its total.
 
     All sizes of one total read the same stream. It is cut into blocks of raw numbers; each task jumps to its block. The
     generator drops raw numbers beyond the total, so what blocks keep is counted first, which says where each begins.
@@ -114,7 +127,7 @@ def draw_indices(sizes: DataFrame, boots: int, seed: int, chunk: int = RAW_BLOCK
                 batch["kept"] = [len(twister.accepted(seed, b, chunk, t)) for b, t in zip(batch["block"], batch["total"])]
                 yield batch
 
-        counted = rows.repartition("total", "block").mapInPandas(count, "total long, n_max long, ns array<long>, block long, kept long")
+        counted = _spread(rows, "total", "block").mapInPandas(count, "total long, n_max long, ns array<long>, block long, kept long")
         counted = checkpoint(counted)
         short = counted.groupBy("total", "n_max").agg(F.sum("kept").alias("kept")).where(F.col("kept") < F.lit(boots) * F.col("n_max"))
         if short.isEmpty():
@@ -122,7 +135,12 @@ def draw_indices(sizes: DataFrame, boots: int, seed: int, chunk: int = RAW_BLOCK
         slack *= 8
     # one row per block of raw numbers
     before = Window.partitionBy("total").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.withColumn("start", F.coalesce(F.sum("kept").over(before), F.lit(0)))
+    return counted.withColumn("start", F.coalesce(F.sum("kept").over(before), F.lit(0)))
+
+
+def draw_indices(sizes: DataFrame, boots: int, seed: int, chunk: int = RAW_BLOCK) -> DataFrame:
+    """(total, n, boot, k, idx, part) rows of numpy's stream for every (total, n) pair, drawn by many tasks."""
+    placed = _placed_blocks(sizes, boots, seed, chunk)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -131,11 +149,11 @@ def draw_indices(sizes: DataFrame, boots: int, seed: int, chunk: int = RAW_BLOCK
                 at = start + np.arange(len(idx))
                 for n in ns:
                     asked = at < boots * n
-                    if asked.any():
-                        a = at[asked]
-                        yield pd.DataFrame({"total": total, "n": n, "boot": a // n, "k": a % n, "idx": idx[asked], "part": a // PART})
+                    for cut in range(0, int(asked.sum()), STEP):
+                        a = at[asked][cut : cut + STEP]
+                        yield pd.DataFrame({"total": total, "n": n, "boot": a // n, "k": a % n, "idx": idx[asked][cut : cut + STEP], "part": a // PART})
 
-    return placed.repartition("total", "block").mapInPandas(draw, "total long, n long, boot long, k long, idx long, part long")
+    return _spread(placed, "total", "block").mapInPandas(draw, "total long, n long, boot long, k long, idx long, part long")
 
 
 def _numpy_draws(groups: DataFrame, boots: int, seed: int) -> DataFrame:
@@ -151,6 +169,7 @@ def _in_parts(groups: DataFrame, boots: int) -> DataFrame:
 def counter_draws(groups: DataFrame, boots: int, seed: int) -> DataFrame:
     """Indices that follow from seed, sizes and place alone, by md5: any task, or SQL, draws any of them."""
     parts = _in_parts(groups, boots)
+    parts = _spread(parts, *parts.columns)
     last = F.least((F.col("part") + 1) * PART, F.lit(boots) * F.col("n")) - 1
     rows = parts.withColumn("at", F.explode(F.sequence(F.col("part") * PART, last)))
     drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "total", "n", "at")), 1, 12), 16, 10).cast("bigint")
@@ -160,7 +179,8 @@ def counter_draws(groups: DataFrame, boots: int, seed: int) -> DataFrame:
 def _joined_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], has_votes: bool, boots: int, seed: int, draws: Callable) -> DataFrame:
     placed = position_in_group(rows.drop("group_n"), keys, order, "idx").withColumnRenamed("group_n", "total")
     groups = placed.groupBy(*keys).agg(F.first("total").alias("total")).withColumn("n", F.explode(ladder_column(F.col("total"))))
-    picked = draws(groups, boots, seed).drop("total", "part").join(placed.drop("total"), [*keys, "idx"])
+    # Spark sizes the draws by the few rows they are exploded from, and would broadcast them through the driver
+    picked = draws(groups, boots, seed).drop("total", "part").hint("merge").join(placed.drop("total").hint("merge"), [*keys, "idx"])
     per_boot = picked.groupBy(*keys, "n", "boot").agg(F.max("val").alias("best"), F.min("val").alias("worst"))
     names = ["best", "worst"]
     if has_votes:
@@ -170,6 +190,10 @@ def _joined_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], h
         maj = votes.groupBy(*keys, "n", "boot").agg(F.max_by("v", F.struct("c", -F.col("k0"))).alias("maj"))
         per_boot = per_boot.join(maj, [*keys, "n", "boot"])
         names.append("maj")
+    return _over_boots(per_boot, keys, names)
+
+
+def _over_boots(per_boot: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     stats = per_boot.groupBy(*keys, "n").agg(
         *[f(c).alias(f"{c}/{s}") for c in names for f, s in ((F.avg, "mean"), (F.stddev_pop, "std"))]
     )
@@ -178,6 +202,151 @@ def _joined_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], h
     return long.select(*keys, "n", F.concat(part[0], F.lit("@"), F.col("n").cast("string"), F.lit("/"), part[1]).alias("metric"), "value")
 
 
+def _numpy_stream(seed: int, block: int, skip: int, total: int) -> Callable[[int], np.ndarray]:
+    """What numpy's stream of ``total`` keeps from a raw block on, less its first ``skip`` numbers; called for the next ``m``."""
+    gen, mask, left = twister.generator(seed, block * RAW_BLOCK), np.uint32((1 << (total - 1).bit_length()) - 1), np.empty(0, np.uint32)
+
+    def take(m: int) -> np.ndarray:
+        nonlocal left
+        parts, have = [left], len(left)
+        while have < m:
+            raw = gen.randint(0, 1 << 32, size=STEP, dtype=np.uint32) & mask
+            parts.append(raw[raw < total])
+            have += len(parts[-1])
+        found = np.concatenate(parts)
+        left = found[m:]
+        return found[:m]
+
+    for at in range(0, skip, STEP):
+        take(min(STEP, skip - at))
+    return take
+
+
+def _counter_stream(seed: int, total: int, n: int, at: int) -> Callable[[int], np.ndarray]:
+    """The numbers of ``counter_draws`` from place ``at`` on: the first 48 bits of each digest."""
+    head, place = hashlib.md5(f"{seed}|{total}|{n}|".encode()), at
+
+    def one(i: int) -> bytes:
+        h = head.copy()
+        h.update(b"%d" % i)
+        return h.digest()
+
+    def take(m: int) -> np.ndarray:
+        nonlocal place
+        digests = b"".join(map(one, range(place, place + m)))
+        place += m
+        return ((np.frombuffer(digests, ">u8")[::2] >> 16) % total).astype(np.int64)
+
+    return take
+
+
+def _winners(codes: np.ndarray, idx: np.ndarray) -> np.ndarray:
+    """Per resample, the row of the first occurrence of its most frequent vote; ties go to the earlier vote."""
+    boots, n = idx.shape
+    k = int(codes.max()) + 1
+    flat = (codes[idx] + k * np.arange(boots)[:, None]).ravel()
+    if k <= 4 * n:
+        count = np.bincount(flat, minlength=boots * k)
+        first = np.zeros(boots * k, np.int64)
+        first[flat[::-1]] = np.arange(boots * n)[::-1]  # the last one written, the first drawn, stays
+        cell = np.flatnonzero(count)
+        count, first = count[cell], first[cell]
+    else:  # more kinds of votes than draws
+        cell, first, count = np.unique(flat, return_index=True, return_counts=True)
+    boot = cell // k
+    order = np.lexsort((first, -count, boot))
+    at = first[order[np.unique(boot[order], return_index=True)[1]]]
+    return idx.ravel()[at]
+
+
+def _extremes(vals: np.ndarray, missing: np.ndarray | None, idx: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Largest and smallest value per resample, each with what is null; nulls are passed over and NaN is above all numbers."""
+    drawn = vals[idx]
+    none = np.zeros(len(idx), bool)
+    if missing is None:
+        return [(drawn.max(axis=1), none), (drawn.min(axis=1), none)]
+    gone = missing[idx]
+    none, number = gone.all(axis=1), ~np.isnan(drawn) & ~gone
+    best, worst = np.where(gone, -np.inf, drawn).max(axis=1), np.where(number, drawn, np.inf).min(axis=1)
+    return [(best, none), (np.where(number.any(axis=1), worst, np.nan), none)]
+
+
+def _block_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], has_votes: bool, boots: int, seed: int, generator: str) -> DataFrame:
+    """Groups whose arrays fit a task: every task holds one group and draws and reduces a share of its resamples."""
+    fields = ["val", "vote"] if has_votes else ["val"]
+    packed = rows.groupBy(*keys).agg(F.first("group_n").alias("total"), F.array_sort(F.collect_list(F.struct(*order, *fields))).alias("s"))
+    arrays = [F.col("s.val").alias("vals")]
+    if has_votes:
+
+        @F.pandas_udf("array<int>")
+        def coded(votes: pd.Series) -> pd.Series:
+            # a missing vote is a vote like any other
+            return pd.Series([pd.factorize(np.asarray(v, dtype=object), use_na_sentinel=False)[0].astype("int32") for v in votes], dtype=object)
+
+        arrays.append(coded(F.col("s.vote")).alias("codes"))
+    sizes = rows.groupBy(*keys).agg(F.first("group_n").alias("total")).select("total").distinct()
+    groups = packed.select(*keys, "total", *arrays)
+    step = F.greatest(F.floor(F.lit(SHARE[generator]) / F.col("n")), F.lit(1)).cast("bigint")
+    if generator == "numpy":
+        blocks = _placed_blocks(sizes.withColumn("n", F.explode(ladder_column(F.col("total")))), boots, seed, RAW_BLOCK)
+        # boots * 2 * block_limit / RAW_BLOCK places at most
+        groups = groups.join(blocks.groupBy("total").agg(F.collect_list(F.struct("start", "block")).alias("_blocks")), "total")
+    # the few numbers of a share are found before the arrays are repeated beside them
+    shares = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(boots - 1).cast("bigint"), step), lambda b: F.struct(b.alias("b0"), F.least(b + step, F.lit(boots)).alias("b1")))
+    pieces = groups.withColumn("n", F.explode(ladder_column(F.col("total")))).withColumn("_b", F.explode(shares))
+    pieces = pieces.withColumns({"b0": F.col("_b.b0"), "b1": F.col("_b.b1")}).drop("_b")
+    if generator == "numpy":
+        pieces = pieces.withColumn("at", F.array_max(F.filter("_blocks", lambda s: s["start"] <= F.col("b0") * F.col("n")))).drop("_blocks")
+
+    def one(row: dict, vals: np.ndarray, missing: np.ndarray | None, codes: np.ndarray | None) -> dict:
+        n, total, b0, b1 = (row[c] for c in ("n", "total", "b0", "b1"))
+        if generator == "numpy":
+            take = _numpy_stream(seed, row["at"]["block"], b0 * n - row["at"]["start"], total)
+        else:
+            take = _counter_stream(seed, total, n, b0 * n)
+        found: dict[str, list] = {"best": [], "worst": [], "maj": []}
+        some = max(STEP // n, 1)
+        for b in range(b0, b1, some):
+            idx = take((min(b + some, b1) - b) * n).reshape(-1, n)
+            for name, pair in zip(("best", "worst"), _extremes(vals, missing, idx)):
+                found[name].append(pair)
+            if codes is not None:
+                at = _winners(codes, idx)
+                found["maj"].append((vals[at], np.zeros(len(at), bool) if missing is None else missing[at]))
+        return {name: pa.array(np.concatenate([v for v, _ in x]), mask=np.concatenate([m for _, m in x])) for name, x in found.items() if x}
+
+    names = ["best", "worst", "maj"] if has_votes else ["best", "worst"]
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = [*keys, "n"]
+        for batch in batches:
+            facts = batch.select([c for c in batch.schema.names if c not in (*keys, "vals", "codes")]).to_pylist()
+            ready, places = [], []
+
+            def flush() -> pa.RecordBatch:
+                cols = batch.select(small).take(pa.array(np.concatenate(places))).columns
+                cols += [pa.concat_arrays([r[c] for r in ready]) for c in names]
+                return pa.RecordBatch.from_arrays(cols, names=[*small, *names])
+
+            for i, row in enumerate(facts):
+                listed = batch.column("vals")[i].values
+                vals = listed.to_numpy(zero_copy_only=False)
+                gone = listed.is_null().to_numpy(zero_copy_only=False)
+                missing = gone if np.isnan(vals).any() or gone.any() else None
+                codes = batch.column("codes")[i].values.to_numpy(zero_copy_only=False) if has_votes else None
+                ready.append(one(row, vals, missing, codes))
+                places.append(np.full(len(ready[-1]["best"]), i))
+                if sum(map(len, places)) >= STEP >> 3:
+                    yield flush()
+                    ready, places = [], []
+            if ready:
+                yield flush()
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "n long", *[f"{c} double" for c in names]])
+    return _over_boots(_spread(pieces, *keys, "n", "b0").mapInArrow(run, schema), keys, names)
+
+
 def bootstrap(
     samples: DataFrame,
     keys: Sequence[str],
@@ -187,6 +356,7 @@ def bootstrap(
     boots: int = 1000,
     seed: int = 42,
     array_limit: int = ARRAY_LIMIT,
+    block_limit: int = BLOCK_LIMIT,
     hot_rows: int | None = None,
     generator: str = "numpy",
 ) -> DataFrame:
@@ -199,13 +369,18 @@ def bootstrap(
         cols.append(F.col(vote).alias("vote"))
     names = [f"_o{i}" for i in range(len(order))]
     sized = join_group_stats(samples.select(*cols), keys, [], hot_rows).where("group_n > 1")
+    options = keys, names, vote is not None, boots, seed
+    block, large = sized.where(F.col("group_n") <= block_limit), sized.where(F.col("group_n") > block_limit)
     if generator == "counter":
-        return _joined_groups(sized, keys, names, vote is not None, boots, seed, counter_draws)
+        for k in keys:  # the SQL joins its draws on the keys
+            block = block.where(F.col(k).isNotNull())
+        return _block_groups(block, *options, "counter").unionByName(_joined_groups(large, *options, counter_draws))
+    block = block.where(F.col("group_n") > array_limit)
+    large = large.where(F.col("group_n") > array_limit)
     small = sized.where(F.col("group_n") <= array_limit)
     packed = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names, *[c for c in ("val", "vote") if c in small.columns]))).alias("s"))
     few = _small_groups(packed, keys, vote is not None, boots, seed)
-    many = _joined_groups(sized.where(F.col("group_n") > array_limit), keys, names, vote is not None, boots, seed, _numpy_draws)
-    return few.unionByName(many)
+    return few.unionByName(_block_groups(block, *options, "numpy")).unionByName(_joined_groups(large, *options, _numpy_draws))
 
 
 def measured(samples: DataFrame, values: Sequence[str]) -> list[str]:

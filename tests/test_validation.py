@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -39,6 +41,29 @@ def test_bootstrap_matches_numpy_on_both_paths(spark, limit):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("votes", [True, False])
+@pytest.mark.parametrize("generator", ["numpy", "counter"])
+def test_shares_of_resamples_agree_with_the_row_join(spark, monkeypatch, generator, votes):
+    # small steps, so that groups take several tasks, streams several blocks and resamples several steps
+    monkeypatch.setattr(V, "STEP", 64)
+    monkeypatch.setattr(V, "RAW_BLOCK", 100)
+    monkeypatch.setattr(V, "SHARE", {"numpy": 90, "counter": 70})
+    rows = [(u, i, None if i % 11 == 3 else float("nan") if u == "c" and i == 7 else float(i * 7 % 5), None if i % 4 == 1 else f"p{i * 5 % kinds}") for u, n, kinds in (("a", 2, 1), ("b", 13, 3), ("c", 40, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "uid string, i int, v double, pred string").repartition(3)
+    vote = "pred" if votes else None
+    got, want = ({(r.uid, r.metric): r.value for r in V.bootstrap(df, ["uid"], ["i"], "v", vote, boots=30, seed=3, array_limit=1, block_limit=limit, generator=generator).collect()} for limit in (1 << 20, 1))
+    assert got == pytest.approx(want, nan_ok=True) and len(got) == (6 if votes else 4) * sum(len(V.ladder(n)) for n in (2, 13, 40))
+
+
+def test_draws_are_not_broadcast(spark):
+    df = spark.createDataFrame([("a", i, float(i % 3), "p") for i in range(50)], "uid string, i int, v double, pred string")
+    for generator in ("numpy", "counter"):
+        out = V.bootstrap(df, ["uid"], ["i"], "v", "pred", boots=40, array_limit=1, block_limit=1, generator=generator)
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"BroadcastHashJoin \[[^\]]*\bidx#", plan)
+
+
 def test_index_stream_can_be_drawn_in_chunks(spark):
     df = spark.createDataFrame([(7, 3)], "total long, n long")
     rows = V.draw_indices(df, 50, 42, chunk=11).orderBy("boot", "k").collect()
