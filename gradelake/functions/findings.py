@@ -32,8 +32,9 @@ RULES_ECHO = (
 )
 BULLET = r"(?U)^(?:[-*•]|\d+[.)])\s+(.+)$"
 QUOTES = "\"“”"
-ANCHOR_PAIR = r"(?Uis)ANCHOR\s*(\d+)\s*:\s*[\"“”](.+?)[\"“”]"
-FINDING_PAIR = r"(?Uis)FINDING\s*(\d+)\s*:\s*(.+?)(?=\n\s*(?:ANCHOR|FINDING)\s*\d|\z)"
+# the group is a number, what stands between, and the text; the second pattern parts them
+ANCHOR_PAIR = r"(?Uis)ANCHOR\s*(\d+\s*:\s*[\"“”].+?)[\"“”]", r"(?U)\A\d+\s*:\s*[\"“”]"
+FINDING_PAIR = r"(?Uis)FINDING\s*(\d+\s*:\s*.+?)(?=\n\s*(?:ANCHOR|FINDING)\s*\d|\z)", r"(?U)\A\d+\s*:\s*"
 
 
 def parse_findings(text: Column, cap: Column) -> Column:
@@ -70,8 +71,10 @@ def anchor_pairs(text: Column) -> Column:
     """Array of struct(anchor, finding), paired by number; a repeated number keeps its last text."""
     empty = F.array().cast("array<struct<anchor:string,finding:string>>")
     head = F.upper(strip(text))
-    entries = lambda p: F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("id"), F.regexp_extract_all(text, F.lit(p), F.lit(2)).alias("v")
+    # the text is searched once per pattern
+    entries = lambda p: F.transform(
+        F.regexp_extract_all(text, F.lit(p[0]), F.lit(1)),
+        lambda e: F.struct(F.regexp_extract(e, r"(?U)\A\d+", 0).alias("id"), F.regexp_replace(e, p[1], "").alias("v")),
     )
     both = F.struct(entries(ANCHOR_PAIR).alias("a"), entries(FINDING_PAIR).alias("f"))
 
