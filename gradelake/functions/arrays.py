@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,19 +35,26 @@ def _f(a) -> np.ndarray:
     return np.asarray(a, dtype=np.float64)
 
 
-def _rows(fn, *cols: pd.Series) -> pd.Series:
-    out = [None if any(v is None for v in row) else fn(*map(_f, row)) for row in zip(*cols)]
-    return pd.Series(out, dtype=object)
+def _lists(fn, *cols: pa.Array) -> pa.Array:
+    """``fn`` over the arrays of each row, written into one flat buffer: no Python object is kept per row."""
+    gone = np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in cols])
+    flat = [c.values.to_numpy(zero_copy_only=False) for c in cols]
+    ends = [c.offsets.to_numpy() for c in cols]
+    places = np.concatenate([[0], np.cumsum(np.where(gone, 0, np.diff(ends[0])))]).astype(np.int32)
+    out = np.empty(places[-1])
+    for i in np.flatnonzero(~gone):
+        out[places[i] : places[i + 1]] = fn(*[_f(v[e[i] : e[i + 1]]) for v, e in zip(flat, ends)])
+    return pa.ListArray.from_arrays(pa.array(places), pa.array(out), mask=pa.array(gone))
 
 
-@F.pandas_udf(_DOUBLES)
-def _reward_to_go(rewards: pd.Series, mask: pd.Series) -> pd.Series:
-    return _rows(lambda r, m: np.cumsum((r * m)[::-1])[::-1], rewards, mask)
+@F.arrow_udf(_DOUBLES)
+def _reward_to_go(rewards: pa.Array, mask: pa.Array) -> pa.Array:
+    return _lists(lambda r, m: np.cumsum((r * m)[::-1])[::-1], rewards, mask)
 
 
-@F.pandas_udf(_DOUBLES)
-def _running_sum(values: pd.Series) -> pd.Series:
-    return _rows(np.cumsum, values)
+@F.arrow_udf(_DOUBLES)
+def _running_sum(values: pa.Array) -> pa.Array:
+    return _lists(np.cumsum, values)
 
 
 def reward_to_go(rewards: Column, mask: Column) -> Column:
@@ -95,9 +103,9 @@ def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
         following = cuts[np.searchsorted(cuts, here, "right")]
         return whole[:-1] - float(gamma) ** (following - here) * whole[following]
 
-    @F.pandas_udf(_DOUBLES)
-    def run(r: pd.Series, m: pd.Series) -> pd.Series:
-        return _rows(one, r, m)
+    @F.arrow_udf(_DOUBLES)
+    def run(r: pa.Array, m: pa.Array) -> pa.Array:
+        return _lists(one, r, m)
 
     return run(rewards, mask)
 

@@ -160,3 +160,16 @@ def test_clip_covariance_drops_the_stated_number(spark):
     df = spark.createDataFrame(toks, "traj int, t int, mask int, adv double, old_lp double, new_lp double")
     out = L.clip_cov_loss(df, ratio=0.01, lower=0.0, upper=10.0).first()
     assert out.pg_clipfrac == pytest.approx(4 / 400, rel=1e-6)
+
+
+def test_running_sums_keep_nulls_and_odd_lengths(spark):
+    rows = [(0, [1.0, 2.0, 4.0], [1, 0, 1]), (1, None, [1]), (2, [], []), (3, [5.0], None), (4, [3.0, None], [1, 1]), (5, [2.0], [1])]
+    df = spark.createDataFrame(rows, "traj int, r array<double>, m array<int>").coalesce(1)
+    got = df.select("traj", A.reward_to_go(F.col("r"), F.col("m")).alias("g"), A.running_sum(F.col("r")).alias("s"), A.discounted_returns(F.col("r"), F.col("m"), 0.5).alias("d"))
+    # Arrow arrays, without a pandas object per row
+    assert A._reward_to_go.evalType == A._running_sum.evalType == F.arrow_udf(lambda x: x, "int").evalType
+    out = {r.traj: r for r in got.collect()}
+    assert [out[0][c] for c in "gsd"] == [[5.0, 4.0, 4.0], [1.0, 3.0, 7.0], [1.0, 4.0, 4.0]]
+    assert [out[1][c] for c in "gsd"] == [None, None, None] and [out[2][c] for c in "gsd"] == [[], [], []]
+    assert [out[3][c] for c in "gsd"] == [None, [5.0], None] and [out[5][c] for c in "gsd"] == [[2.0], [2.0], [2.0]]
+    assert out[4].s[0] == 3.0
